@@ -1,0 +1,11 @@
+"""Operators that prepare training data; nothing else in the package imports this one.
+
+The package's functions are pickled by value, so executors need only the
+third-party libraries, not this code, on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
