@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitlens.llm import packing, simhash
+from commitlens.llm import packing, pii, secrets, simhash
 from commitlens.llm.common import table
 
 
+def op1_pii_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents")).select("doc_id", *(f"n_{k}" for k in pii.KINDS), "base_sha256", "spans")
+
+
+def op2_secrets_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(table(spark, sf_dir, "documents"))
+
+
 def op3_pack_power_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.decompose(table(spark, sf_dir, "documents"), keep_ids=False)
 
@@ -21,6 +29,8 @@ def op5_simhash_covering_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_skip_chain_crf": op1_pii_skip_chain_crf,
+    "op2_secrets_entropy": op2_secrets_entropy,
     "op3_pack_power_of_two": op3_pack_power_of_two,
     "op5_simhash_covering_lsh": op5_simhash_covering_lsh,
 }
