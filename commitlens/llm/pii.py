@@ -262,7 +262,7 @@ def all_spans(texts: list[str], weights: tuple, sure: float = 0.9) -> list[tuple
     graphs, at = [], 0
     x, fixed, chain, skip = [], [], [], []
     for text, known in zip(texts, base, strict=True):
-        found, rows, held, next_to, same = graph(text, known) if known else ([], [], [], [], [])
+        found, rows, held, next_to, same = graph(text, known)
         graphs.append((found, at, {i for i, _ in next_to}))
         x += rows
         fixed += held

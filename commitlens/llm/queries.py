@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitlens.llm import packing, pii, secrets, simhash
+from commitlens.llm import media, mixing, packing, pii, secrets, simhash, urlfilter
 from commitlens.llm.common import table
 
 
@@ -23,16 +23,35 @@ def op3_pack_power_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.decompose(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op4_media_tar_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.features(media.store(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op5_simhash_covering_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_url_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.listed_sites(spark))
+
+
+def op7_mix_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_skip_chain_crf": op1_pii_skip_chain_crf,
     "op2_secrets_entropy": op2_secrets_entropy,
     "op3_pack_power_of_two": op3_pack_power_of_two,
+    "op4_media_tar_shards": op4_media_tar_shards,
     "op5_simhash_covering_lsh": op5_simhash_covering_lsh,
+    "op6_url_bloom_cascade": op6_url_bloom_cascade,
+    "op7_mix_water_filling": op7_mix_water_filling,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_url_bloom_cascade": urlfilter.sql(),
+    "op7_mix_water_filling": mixing.sql(),
+}
