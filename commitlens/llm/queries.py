@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitlens.llm import media, mixing, packing, pii, secrets, simhash, urlfilter
+from commitlens.llm import ann, media, mixing, packing, pii, secrets, simhash, toxicity, urlfilter
 from commitlens.llm.common import table
 
 
@@ -41,6 +41,17 @@ def op7_mix_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_nearest_hilbert_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op9_toxicity_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(toxicity.sample(docs, table(spark, sf_dir, "labels"))))
+    held_out = F.coalesce(toxicity.fold_of("doc_id") == 0, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_skip_chain_crf": op1_pii_skip_chain_crf,
     "op2_secrets_entropy": op2_secrets_entropy,
@@ -49,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_covering_lsh": op5_simhash_covering_lsh,
     "op6_url_bloom_cascade": op6_url_bloom_cascade,
     "op7_mix_water_filling": op7_mix_water_filling,
+    "op8_nearest_hilbert_curves": op8_nearest_hilbert_curves,
+    "op9_toxicity_noisy_or": op9_toxicity_noisy_or,
 }
 
 ORACLE_SQL: dict[str, str] = {
