@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitlens.llm import ann, media, mixing, packing, pii, secrets, simhash, toxicity, urlfilter
+from commitlens.llm import ann, licenses, media, mixing, packing, pii, secrets, simhash, toxicity, urlfilter
 from commitlens.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op9_toxicity_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
 
 
+def op10_license_rare_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_skip_chain_crf": op1_pii_skip_chain_crf,
     "op2_secrets_entropy": op2_secrets_entropy,
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mix_water_filling": op7_mix_water_filling,
     "op8_nearest_hilbert_curves": op8_nearest_hilbert_curves,
     "op9_toxicity_noisy_or": op9_toxicity_noisy_or,
+    "op10_license_rare_tokens": op10_license_rare_tokens,
 }
 
 ORACLE_SQL: dict[str, str] = {
