@@ -49,8 +49,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     before, every = fills.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(0))
     none = F.lit(0.0)
     level = (F.sum("source_size").over(every).cast("double") - F.coalesce(F.sum("cap").over(before), none)) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), none))
-    # the first source, by fill, whose cap is not under the level that it leaves sets the level for all after it
-    leveled = named.withColumn("level", level).withColumn("level", F.min(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.col("level"))).over(every))
+    # the first source, by fill, whose cap is not under its level sets the level for all after it; levels only sink from there
+    leveled = named.withColumn("level", level).withColumn("level", F.max(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.col("level"))).over(every))
     return leveled.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), "cap")).alias("target"))
 
 
@@ -113,7 +113,7 @@ def sql() -> str:
       SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER fills, 0.0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER fills, 0.0)) AS level
       FROM named WINDOW fills AS (ORDER BY cap / weight, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     targets AS (
-      SELECT source, source_size, least(cap, coalesce((SELECT min(level) FROM leveled WHERE cap >= level * weight) * weight, cap)) AS target FROM leveled),
+      SELECT source, source_size, least(cap, coalesce((SELECT max(level) FROM leveled WHERE cap >= level * weight) * weight, cap)) AS target FROM leveled),
     histogram AS (SELECT source, bin, sum(size) AS words FROM sized GROUP BY source, bin),
     placed AS (
       SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM histogram),
