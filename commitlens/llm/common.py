@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import hashlib
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -13,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from commitlens.sources.storage import shared_dir
+
 #: Rows of one Arrow batch. Texts can be long, so a batch is kept to few of them.
 BATCH_ROWS = 256
 
@@ -21,21 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a temporary folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="checkpoints-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept as a table in the shared folder: a lost executor costs no lineage.
 
@@ -64,6 +48,24 @@ def per_batch(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataF
     return df.mapInArrow(run, schema)
 
 
+def per_text(docs: DataFrame, make: Callable[[], Callable], keep: bool = False) -> DataFrame:
+    """``docs`` with new texts, or (``keep``) those of its rows whose text is to stay; other columns pass untouched.
+
+    ``make()``, called once a task, gives a function from a batch's texts to new texts or to booleans.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = None
+        for batch in batches:
+            f = f or make()
+            field, out = batch.schema.field(at), f(batch.column(at).to_pylist())
+            yield batch.filter(pa.array(out, pa.bool_())) if keep else batch.set_column(at, field, pa.array(out, field.type))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

@@ -15,7 +15,7 @@ to within a word per document of that one bin.
 Edge cases: a null text has size 0 and takes nothing; a null source is a source of
 its own, last; null doc_ids draw one number; rows that repeat draw the same number
 and are taken alike; an empty table gives no rows. Columns other than ``doc_id``,
-``text`` and ``source`` are ignored (``repeat`` keeps them).
+``text`` and ``source`` are ignored by ``mix`` and kept by ``repeat``.
 """
 
 from __future__ import annotations
@@ -59,7 +59,8 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
 
     Documents in lower bins have one repetition more than ``whole``.
     """
-    histogram = docs.groupBy("source", bin_of("doc_id").alias("bin")).agg(F.sum(words_in("text")).alias("words"))
+    rows = docs.select("source", bin_of("doc_id").alias("bin"), words_in("text").alias("size"))
+    histogram = rows.groupBy("source", "bin").agg(F.sum("size").alias("words"))
     running = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     placed = histogram.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0)))
     sizes = targets(histogram.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
@@ -72,29 +73,30 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
     return found.select("source", "source_size", "target", "whole", F.coalesce("crossing.bin", F.lit(-1)).alias("bin"), F.coalesce("crossing.part", F.lit(0.0)).alias("part"))
 
 
-def with_plan(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with their source's plan, in columns that begin with ``_mix_``."""
-    found = found.select([F.col(c).alias("_mix_" + c) for c in found.columns])
+def with_plan(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` (with ``source``) with their source's plan, in columns that begin with ``plan_``."""
+    found = found.select([F.col(c).alias("plan_" + c) for c in found.columns])
     small = found.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    return docs.join(F.broadcast(found) if small else found, docs["source"].eqNullSafe(F.col("_mix_source")))
+    return rows.join(F.broadcast(found) if small else found, F.col("source").eqNullSafe(F.col("plan_source")))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """doc_id, size, source_size, target and taken (words, repetitions counted) of each document."""
-    docs = docs.select("doc_id", "source", "text")
-    sized = docs.select("doc_id", "source", words_in("text").alias("size"), bin_of("doc_id").alias("_bin"))
-    more = F.when(F.col("_bin") < F.col("_mix_bin"), F.col("size")).when(F.col("_bin") == F.col("_mix_bin"), F.round(F.col("size") * F.col("_mix_part")).cast("long")).otherwise(0)
-    taken = (F.col("_mix_whole") * F.col("size") + more).cast("long")
-    out = with_plan(sized, plan(docs, weights, max_epochs))
-    return out.select("doc_id", "size", F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), taken.alias("taken"))
+    rows = docs.select("doc_id", "source", words_in("text").alias("size"), bin_of("doc_id").alias("bin"))
+    part = F.round(F.col("size") * F.col("plan_part")).cast("long")
+    more = F.when(F.col("bin") < F.col("plan_bin"), F.col("size")).when(F.col("bin") == F.col("plan_bin"), part).otherwise(0)
+    taken = (F.col("plan_whole") * F.col("size") + more).cast("long")
+    out = with_plan(rows, plan(docs, weights, max_epochs))
+    return out.select("doc_id", "size", F.col("plan_source_size").alias("source_size"), F.col("plan_target").alias("target"), taken.alias("taken"))
 
 
 def repeat(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken; fractional repetitions are rounded to whole texts."""
-    extra = (F.col("_bin") < F.col("_mix_bin")) | ((F.col("_bin") == F.col("_mix_bin")) & (F.col("_mix_part") >= 0.5))
-    times = F.col("_mix_whole").cast("int") + extra.cast("int")
-    out = with_plan(docs.withColumn("_bin", bin_of("doc_id")), plan(docs.select("doc_id", "source", "text"), weights, max_epochs))
-    return out.filter(times > 0).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), times)).alias("_time")).drop("_time")
+    rows = docs.select(F.struct("*").alias("row"), "source", bin_of("doc_id").alias("bin"))
+    once_more = (F.col("bin") < F.col("plan_bin")) | ((F.col("bin") == F.col("plan_bin")) & (F.col("plan_part") >= 0.5))
+    times = F.col("plan_whole").cast("int") + once_more.cast("int")
+    out = with_plan(rows, plan(docs, weights, max_epochs)).withColumn("times", times).filter("times > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time")).select("row.*")
 
 
 def sql() -> str:

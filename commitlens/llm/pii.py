@@ -28,7 +28,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commitlens.llm.common import per_batch, sha256_hex, span_text
+from commitlens.llm.common import per_batch, per_text, sha256_hex, span_text
 
 KINDS = ("email", "ip", "card", "phone")
 ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -322,20 +322,15 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with the spans in ``text`` replaced; a null text stays null, ``n_chars`` (if present) follows the text."""
     weights = fitted()
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def make() -> Callable:
-        def rows(columns: list[list]) -> Iterator[tuple]:
-            texts = columns[names.index("text")]
-            found = all_spans([t or "" for t in texts], weights)
-            new = [t if t is None or not (b or a) else redacted(t, b + a) for t, (b, a) in zip(texts, found, strict=True)]
-            columns[names.index("text")] = new
-            return zip(*columns, strict=True)
+        def texts(old: list[str | None]) -> list[str | None]:
+            found = all_spans([t or "" for t in old], weights)
+            return [t if t is None else redacted(t, base + added) for t, (base, added) in zip(old, found, strict=True)]
 
-        return rows
+        return texts
 
-    out = per_batch(docs, make, schema)
-    if "n_chars" in names:
+    out = per_text(docs, make)
+    if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in names])
+    return out

@@ -37,38 +37,56 @@ BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 BUCKET_ROWS = 4096
 
 
-def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
-    """Bits set in over half of the shingles' hashes; words are parted by ASCII white space, A-Z lower-cased."""
+def fingerprints_of(text: str | None, shingle: int = SHINGLE, prints: int = 1) -> list[int]:
+    """Bits set in over half of the shingles' hashes; words are parted by ASCII white space, A-Z lower-cased.
+
+    Further prints take the same hashes, each mixed anew, so that their errors are independent.
+    """
     import numpy as np
     import xxhash
 
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return [0] * prints
     joined, width = b" ".join(words), min(shingle, len(words))
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = (ends - sizes)[: len(words) - width + 1].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)), np.uint64, len(starts))
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        bits = np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8))
-        counts += bits.reshape(-1, BITS).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
+    found = []
+    for number in range(prints):
+        counts = np.zeros(BITS, np.int64)
+        for at in range(0, len(hashes), 1 << 16):
+            bits = np.unpackbits(mixed(hashes[at : at + (1 << 16)], number).astype(">u8").view(np.uint8))
+            counts += bits.reshape(-1, BITS).sum(0, dtype=np.int64)
+        found.append(int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big"))
+    return found
+
+
+def mixed(hashes, number: int):  # noqa: ANN001, ANN201
+    """The hashes themselves for number 0, else another hash of each (a finaliser of a 64-bit generator, offset by the number)."""
+    import numpy as np
+
+    if not number:
+        return hashes
+    x = hashes + np.uint64(number * 0x9E3779B97F4A7C15 % (1 << BITS))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, text_hash, fp (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, prints: int = 1) -> DataFrame:
+    """doc_id, text_hash, fps (the fingerprints as signed longs)."""
 
     def make() -> Callable:
         def rows(columns: list[list]) -> Iterator[tuple]:
             for doc_id, text, text_hash in zip(*columns, strict=True):
-                yield doc_id, text_hash, signed(fingerprint_of(text, shingle))
+                yield doc_id, text_hash, list(map(signed, fingerprints_of(text, shingle, prints)))
 
         return rows
 
-    return per_batch(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), make, "doc_id long, text_hash long, fp long")
+    return per_batch(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), make, "doc_id long, text_hash long, fps array<long>")
 
 
 def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -99,8 +117,8 @@ def spanning_edges(points, radius: int):  # noqa: ANN001, ANN201
 
 
 def bucket_edges(distinct: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(a, b) of links found in the tables' buckets; (a, null) for the members of buckets over ``bucket_rows``."""
-    keys = [F.xxhash64(F.col("fp").bitwiseAND(F.lit(signed(mask))), F.lit(number)) for number, mask in enumerate(covering_masks(radius))]
+    """From distinct (print, fp): (a, b) of links found in the tables' buckets; (a, null) for the members of buckets over ``bucket_rows``."""
+    keys = [F.xxhash64(F.col("fp").bitwiseAND(F.lit(signed(mask))), F.lit(number), "print") for number, mask in enumerate(covering_masks(radius))]
     placed = distinct.select("fp", F.explode(F.array(*keys)).alias("key")).repartition("key").sortWithinPartitions("key", "fp")
     placed.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     schema = arrow_schema(placed.sparkSession, "a long, b long")
@@ -180,35 +198,43 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """doc_id, text_hash, fp and component_id (the smallest doc_id that its fingerprint reaches) for each row."""
-    marks, placed = _placed(docs, shingle, radius, bucket_rows)
-    linked = placed.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
-    return marks.join(placed.join(linked, "root").select("fp", "component_id"), "fp").select("doc_id", "text_hash", "fp", "component_id")
-
-
-def _placed(docs: DataFrame, shingle: int, radius: int, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
-    """The rows' fingerprints; and for each fingerprint its first row (null ids last) and its component's root."""
-    marks = cut(fingerprints(docs, shingle))
-    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    distinct = cut(marks.groupBy("fp").agg(F.min(row).alias("first")))
-    found = cut(bucket_edges(distinct.select("fp"), radius, bucket_rows).distinct())
+    """doc_id, fp and component_id (the smallest doc_id that its fingerprint reaches) for each row."""
+    marks = cut(fingerprints(docs, shingle)).select("doc_id", F.get("fps", F.lit(0)).alias("fp"))
+    distinct = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    edges = all_edges(distinct.select(F.lit(0).alias("print"), "fp"), radius, bucket_rows)
+    placed = distinct.join(components(edges), F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    linked = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return marks.join(placed.join(linked, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def all_edges(distinct: DataFrame, radius: int, bucket_rows: int) -> DataFrame:
+    """(a, b) that connect all links within ``radius`` among distinct (print, fp)."""
+    found = cut(bucket_edges(distinct, radius, bucket_rows).distinct())
     edges = found.filter("b is not null")
     spread = found.filter("b is null").select(F.col("a").alias("fp")).distinct()
-    if not spread.isEmpty():
-        edges = edges.unionByName(ball_edges(spread, radius))
-    placed = distinct.join(components(edges), F.col("fp") == F.col("node"), "left")
-    return marks, placed.select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return edges if spread.isEmpty() else edges.unionByName(ball_edges(spread, radius))
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component its first row by doc_id (nulls last) stays.
+def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = RADIUS, prints: int = 4, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group its first row by doc_id (nulls last) stays.
 
-    Of different texts with that id the one with the least hash stays, of rows
-    that repeat both, any one.
+    One fingerprint of 64 bits strays by more than ``radius`` for many copies
+    with a few words changed. Texts are linked here if any of ``prints``
+    independent ones is within it. Of different texts with the first id the one
+    with the least hash stays, of rows that repeat both, any one.
     """
-    _, placed = _placed(docs, shingle, radius, BUCKET_ROWS)
-    first = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
-    columns, text_hash = [F.col(f"`{c}`") for c in docs.columns], F.xxhash64("text")
-    left = docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]) & (text_hash == first["_hash"]), "left_semi")
-    copies = Window.partitionBy("doc_id", text_hash).orderBy(F.lit(0))
-    return left.withColumn("_copy", F.row_number().over(copies)).filter("_copy = 1").select(*columns)
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    marks = cut(fingerprints(docs, shingle, prints))
+    texts = cut(marks.groupBy("text_hash").agg(F.min(row).alias("first"), F.first("fps").alias("fps")))
+    held = texts.select("text_hash", F.posexplode("fps").alias("print", "fp"))
+    distinct = cut(held.groupBy("print", "fp").agg(F.count("*").alias("n")))
+    edges = cut(all_edges(distinct.select("print", "fp"), radius, bucket_rows))
+    # only fingerprints that link something join the texts' graph
+    linking = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).unionByName(distinct.filter("n > 1").select("fp")).distinct()
+    graph = edges.unionByName(held.join(linking, "fp").select(F.col("text_hash").alias("a"), F.col("fp").alias("b")))
+    placed = texts.join(components(graph), F.col("text_hash") == F.col("node"), "left").select("first", F.coalesce("root", "text_hash").alias("root"))
+    first = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    left = rows.join(first, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash")), "left_semi")
+    copies = Window.partitionBy("id", "hash").orderBy(F.lit(0))
+    return left.withColumn("copy", F.row_number().over(copies)).filter("copy = 1").select("row.*")

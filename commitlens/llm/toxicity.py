@@ -28,7 +28,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from commitlens.llm.common import per_batch
+from commitlens.llm.common import per_batch, per_text
 
 #: At most so many rows (toxic, clean) of at most so many characters are learned from.
 SAMPLE, SAMPLE_CHARS = (1500, 3000), 12_000
@@ -151,14 +151,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that score under a half; a text's score depends on nothing but the text."""
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def make() -> Callable:
-        def rows(columns: list[list]) -> Iterator[tuple]:
-            at = names.index("text")
-            return (row for row in zip(*columns, strict=True) if model.score(row[at] or "")[0] < 0.5)
+        return lambda texts: [model.score(t or "")[0] < 0.5 for t in texts]
 
-        return rows
-
-    return per_batch(docs, make, schema)
+    return per_text(docs, make, keep=True)

@@ -1,0 +1,444 @@
+"""The operators against plain models of what they compute."""
+
+import collections
+import hashlib
+import itertools
+import math
+import random
+import re
+import tarfile
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from commitlens.llm import ann, licenses, media, mixing, packing, pii, secrets, simhash, toxicity, urlfilter
+
+# ---- 1 personal data
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plain_pii(text):
+    digits = lambda s: sum(c in "0123456789" for c in s)
+    found = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    found += [("ip", *m.span()) for m in IP.finditer(text) if all(int(x) <= 255 for x in m.group().split("."))]
+    found += [("card", *m.span()) for m in CARD.finditer(text) if 12 <= digits(m.group()) <= 19 and pii.luhn(re.sub("[ -]", "", m.group()))]
+    return found + [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= digits(m.group()) <= 15]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.text(alphabet="a@.1234567890-+() %é", max_size=60))
+def test_pii_base_is_what_the_patterns_find(text):
+    assert pii.base_spans(text) == plain_pii(text)
+
+
+def test_skip_links_carry_a_label_to_distant_repeats():
+    text = "call +1 (499) 555-6503 now. " + "words and words. " * 200 + "Then 555-6503, or 5556503. v1.2.3 in 2024, 20240103"
+    ((base, added),) = pii.all_spans([text], pii.fitted())
+    assert [(k, text[a:b]) for k, a, b in base] == [("phone", "+1 (499) 555-6503")]
+    assert [(k, text[a:b]) for k, a, b in added] == [("phone", "555-6503"), ("phone", "5556503")]
+    ((_, alone),) = pii.all_spans(["Then 555-6503, or 5556503."], pii.fitted())
+    assert alone == []
+
+
+def test_pii_result_does_not_depend_on_the_batch():
+    texts = ["call +1 (499) 555-6503 or 555-6503", "clean", "ip 10.0.0.1 then 10.0.0.1"]
+    whole = pii.all_spans(texts, pii.fitted())
+    assert whole == [pii.all_spans([t], pii.fitted())[0] for t in texts]
+
+
+def test_redaction_keeps_the_rest():
+    assert pii.redacted("a bo@x.example b 1.2.3.4.", [("email", 2, 14), ("ip", 17, 24)]) == "a [EMAIL] b [IP]."
+
+
+# ---- 2 secrets
+
+
+def plain_secrets(text):
+    assign = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    found = [("assign", *m.span()) for m in re.finditer(assign, text) if len(m.group(2)) >= 12]
+    found += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 18]
+    return found + [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 16]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["token", "apikey", "API_key", "=", ": ", " ", "'", '"', "a1", "AKIA", "AKIAZZ", "Z9Z9", "abcdef0123", "x", "é", "secret", "PassWd"]), max_size=25).map("".join))
+def test_secret_base_is_what_the_patterns_find(text):
+    assert secrets.base_spans(text) == plain_secrets(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abcXYZ0189+/_", min_size=20, max_size=60))
+def test_incremental_entropy_equals_a_recount(s):
+    def hot(w):
+        entropy = lambda xs: -sum(n / 20 * math.log2(n / 20) for n in collections.Counter(xs).values())
+        kinds = [secrets.char_class(c) for c in w]
+        mixed = len(set(kinds))
+        return 0 in kinds and mixed > 1 and entropy(kinds) >= secrets.LEAST_MIX - 1e-9 and entropy(w) >= secrets.LEAST[mixed] - 1e-9
+
+    plain = {i for a in range(len(s) - 19) if hot(s[a : a + 20]) for i in range(a, a + 20)}
+    assert {i for a, b in secrets.hot_windows(s) for i in range(a, b)} == plain
+
+
+def test_entropy_and_its_allow_list():
+    text = "key Zx8fK2mQ9vLpR4tYwN7cBhJ3 id 123e4567-e89b-12d3-a456-426614174000 at docs.example.com/a1/b2/c3/d4 EXAMPLE8fK2mQ9vLpR4tYwN7"
+    assert secrets.entropy_spans(text, []) == [("entropy", 4, 28)]
+
+
+# ---- 3 packing
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 100_000))
+def test_binary_lengths(n):
+    lengths = packing.binary_lengths(n)
+    assert sum(lengths) == n and lengths == sorted(lengths, reverse=True)
+    assert all(x & (x - 1) == 0 and x <= 2048 for x in lengths) and len(set(x for x in lengths if x < 2048)) == sum(x < 2048 for x in lengths)
+
+
+def test_both_libraries_give_the_same_ids():
+    from tokenizers import Tokenizer
+
+    files = packing.default_files()
+    encode, slow = packing.encoder(*files), Tokenizer.from_file(files[0])
+    points = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{chr(c)}b 1{chr(c)}2 {chr(c)} {chr(c)}{chr(c)}x" for c in points[::7]]
+    texts += ["<|endoftext|>x<|endoftext|>", "don't  stop\n\n now", " " * 5000 + "x", "y" * 25_000]
+    for text, wanted in zip(texts, slow.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encode(text) == wanted.ids
+
+
+def test_pieces_put_the_documents_together_again(odd):
+    rows = odd.select("doc_id", "text").collect()
+    pieces = packing.decompose(odd).toPandas()
+    encode = packing.encoder(*packing.default_files())
+    whole = collections.Counter((r.doc_id, tuple(encode(r.text or "") + [1])) for r in rows)
+    got, run = collections.Counter(), []
+    for p in pieces.sort_values("sequence_id").itertuples():
+        assert p.length == len(p.ids) == 1 << p.bucket and p.offset == 0 and p.start == len(run)
+        assert p.ids_crc32 == zlib.crc32(np.array(p.ids, "<u4"))
+        run += list(p.ids)
+        if len(run) == p.doc_tokens:
+            got[None if p.doc_id != p.doc_id else int(p.doc_id), tuple(run)] += 1
+            run = []
+    assert got == whole and pieces.sequence_id.is_unique
+
+
+def test_buckets_are_written_by_length(spark, small, tmp_path):
+    packing.write_buckets(packing.decompose(small), str(tmp_path / "b"))
+    back = spark.read.parquet(str(tmp_path / "b"))
+    assert back.filter(F.size("ids") != F.expr("1 << bucket")).isEmpty() and back.count() == packing.decompose(small).count()
+
+
+# ---- 4 media
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(max_size=300))
+def test_media_round_trip(text):
+    n, payload = media.payload_of(text)
+    assert len(payload) % 64 == 0 and payload[:n] == text.encode() and not any(payload[n:]) and payload
+    stored = media.encode(payload)
+    assert media.decode(stored) == payload and media.header(stored[:33]) == (64, len(payload) // 64, 8)
+
+
+def test_shards_are_tar_files_with_each_digest_once(odd, tmp_path):
+    index = media.store(odd, str(tmp_path))
+    rows = media.features(media.metadata(index).select(*index.columns)).collect()
+    for shard in {r.shard for r in rows}:
+        names = [n for n, _ in media.members(shard)]
+        assert len(names) == len(set(names)) and all(n == f"{hashlib.sha256(media.decode(b)).hexdigest()}.png" for n, b in media.members(shard))
+    assert tarfile.is_tarfile(next(iter(tmp_path.glob("*.tar"))))
+    assert media.canonical(index).count() == len({r.digest for r in rows})
+    texts = odd.select("doc_id", "text").collect()
+    wanted = collections.Counter((r.doc_id, hashlib.sha256(media.payload_of(r.text)[1]).hexdigest()) for r in texts)
+    assert collections.Counter((r.doc_id, r.payload_sha256) for r in rows) == wanted
+    assert media.metadata(index).filter("width <> 64 or bits <> 8").isEmpty()
+
+
+# ---- 5 SimHash
+
+
+def plain_fingerprint(text, n=4):
+    import xxhash
+
+    words = [w for w in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    parts = [" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []
+    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab AÉé\n\t\x0b\x85\xa0c", max_size=60))
+def test_fingerprint(text):
+    assert simhash.fingerprints_of(text)[0] == plain_fingerprint(text)
+
+
+def test_covering_masks_leave_out_any_four_positions_together():
+    masks = simhash.covering_masks()
+    assert len(masks) == 31
+    r = random.Random(5)
+    for some in itertools.chain((r.sample(range(64), 4) for _ in range(20_000)), itertools.combinations(range(0, 64, 3), 4)):
+        flipped = sum(1 << p for p in some)
+        assert any(not m & flipped for m in masks)
+
+
+@pytest.mark.parametrize("bucket_rows", [4096, 2])
+def test_components_equal_brute_force(spark, bucket_rows):
+    r = random.Random(2)
+    words = [f"w{i}" for i in range(400)]
+    docs = []
+    for group in range(40):
+        base = [r.choice(words) for _ in range(120)]
+        for _ in range(r.randrange(1, 9)):
+            new = list(base)
+            for _ in range(r.randrange(3)):
+                new[r.randrange(len(new))] = r.choice(words)
+            docs.append((len(docs), " ".join(new)))
+    found = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), bucket_rows=bucket_rows).collect()
+    prints = {i: plain_fingerprint(t) for i, t in docs}
+    root = {i: i for i in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(prints, 2):
+        if (prints[a] ^ prints[b]).bit_count() <= 4:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    assert {r.doc_id: r.component_id for r in found} == {i: find(i) for i in prints}
+    assert len({find(i) for i in prints}) < len(docs)
+
+
+def test_ball_edges_connect_what_lies_within_the_radius(spark):
+    r = random.Random(3)
+    points = {r.getrandbits(64) for _ in range(3)}
+    for _ in range(25):
+        p = r.choice(sorted(points))
+        for _ in range(r.randrange(1, 5)):
+            p ^= 1 << r.randrange(64)
+        points.add(p)
+    edges = simhash.ball_edges(spark.createDataFrame([(simhash.signed(p),) for p in points], "fp long")).collect()
+    assert all(((e.a ^ e.b) & (1 << 64) - 1).bit_count() <= 4 for e in edges)
+    near = {p: {q for q in points if (p ^ q).bit_count() <= 4} for p in points}
+    linked = {p: {p} for p in points}
+    for e in edges:
+        a, b = e.a % (1 << 64), e.b % (1 << 64)
+        linked[a].add(b)
+        linked[b].add(a)
+
+    def reach(links, p):
+        seen, todo = set(), [p]
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += links[x]
+        return seen
+
+    assert all(reach(near, p) == reach(linked, p) for p in points)
+
+
+# ---- 6 urls
+
+
+def test_cascade_is_exact_where_its_filters_err(spark):
+    universe = spark.range(6000).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
+    listed = spark.range(0, 6000, 7).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
+    levels = urlfilter.cascade(universe, listed)
+    assert len(levels) >= 2  # the first filter passes some that aren't listed
+    got = {r.key for r in universe.filter(urlfilter.in_list(F.col("key"), levels)).collect()}
+    assert got == {f"k{i}" for i in range(0, 6000, 7)}
+
+
+def test_urls(spark):
+    urls = {
+        1: "https://WWW.Spam-Farm.example.org/x?a#b", 2: None, 3: "no scheme", 4: "http://a.example.com/en/700", 5: "http://a.example.com/en/8", 6: "://x.net",
+        7: "http://a.example.net/de/81", 8: "http://org/es/", 9: "http://fakecom/en/", 10: "http://h?u=http://b.com/en/", 11: "", 12: "http://É.ORG/es/é",
+    }
+    pages = spark.createDataFrame([(i, u, "x") for i, u in urls.items()] + [(1, urls[1], "again")], "page_id long, url string, host string")
+    got = {r.page_id: tuple(r)[1:] for r in urlfilter.judge(pages, urlfilter.listed_sites(spark)).collect()}
+    assert got[1] == ("www.spam-farm.example.org", "/x", None, "block") and got[2] == got[3] == got[11] == ("", "", None, "allow")
+    assert got[4] == ("a.example.com", "/en/700", "example.com/en/7", "allow") and got[5][2:] == ("com/en/", "block")
+    assert got[6] == ("x.net", "", None, "allow") and got[7][2:] == ("example.net/de/8", "block") and got[8][2:] == ("org/es/", "block")
+    assert got[9][2:] == (None, "allow") and got[10][:2] == ("h", "") and got[12] == ("É.org", "/es/é", "org/es/", "block")
+    assert urlfilter.judge(pages, urlfilter.listed_sites(spark).limit(0)).filter("verdict = 'block'").count() == 4
+
+
+def test_a_list_too_long_for_filters_is_joined(spark, monkeypatch):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    usual = sorted(map(tuple, urlfilter.judge(pages, urlfilter.listed_sites(spark)).collect()))
+    monkeypatch.setattr(urlfilter, "MAX_BITS", 1)
+    assert sorted(map(tuple, urlfilter.judge(pages, urlfilter.listed_sites(spark)).collect())) == usual
+
+
+# ---- 7 mixing
+
+
+def plain_targets(sizes, epochs=3):
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: 1 + i % 3 for i, s in enumerate(names)}
+    free, done, total = set(names), {}, sum(sizes.values())
+    while True:
+        left, every = total - sum(done.values()), sum(weight[s] for s in free)
+        over = [s for s in free if left * weight[s] / every > epochs * sizes[s]]
+        if not over:
+            return done | {s: left * weight[s] / every for s in free}
+        done |= {s: epochs * sizes[s] for s in over}
+        free -= set(over)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_water_filling(spark, seed):
+    r = random.Random(seed)
+    sizes = {None if i == 7 else f"s{i}é"[: 2 + i % 2]: r.choice([0, 1, 5, 100, 1000, 5000]) for i in range(r.randrange(2, 12))}
+    got = {x.source: x.target for x in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    assert got == pytest.approx(plain_targets(sizes))
+
+
+def test_mix_meets_its_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").toPandas()
+    assert (rows.taken <= 3 * rows["size"]).all() and len(rows) == docs.count()
+    by = rows.groupby("source").agg({"size": "sum", "source_size": "first", "target": "first", "taken": "sum"})
+    assert (by["size"] == by.source_size).all() and ((by.taken - by.target).abs() <= 2).all()
+    assert by.target.to_dict() == pytest.approx(plain_targets(by["size"].to_dict()))
+    again = mixing.mix(docs.repartition(7)).toPandas()
+    assert dict(zip(again.doc_id, again.taken, strict=True)) == dict(zip(rows.doc_id, rows.taken, strict=True))
+
+
+def test_many_sources_are_joined(spark, monkeypatch, odd):
+    usual = sorted(map(str, mixing.mix(odd).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(str, mixing.mix(odd).collect())) == usual
+
+
+# ---- 8 nearest neighbours
+
+
+def plain_nearest(rows, k=5, modulus=50):
+    fine = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
+    out = {}
+    for q, a in fine:
+        if q % modulus == 0:
+            scores = {(-(a @ b) / math.sqrt(a @ a) / math.sqrt(b @ b), i) for i, b in fine if i != q and len(b) == len(a)}
+            out[q] = [(i, -s) for s, i in sorted(scores, key=lambda x: (round(x[0], 12), x[1]))[:k]]
+    return out
+
+
+def test_hilbert_keys_visit_each_cell_once_and_step_by_one():
+    cells = np.array(list(itertools.product(range(8), repeat=3)))
+    keys = ann.hilbert(cells, 3)
+    assert sorted(keys) == list(range(512))
+    path = cells[np.argsort(keys)]
+    assert (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
+
+
+@pytest.mark.parametrize("kind", ["even", "clustered"])
+def test_recall_of_nearest(spark, kind, monkeypatch):
+    r = np.random.default_rng(4)
+    v = r.normal(size=(1500, 12))
+    if kind == "clustered":
+        v = r.normal(size=(30, 12))[np.arange(1500) % 30] * 8 + v * 0.3
+    monkeypatch.setattr(ann, "RANGE_ROWS", 100)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    wanted = plain_nearest(rows)
+    hits = sum(len({i for i, _ in wanted[q]} & set(g.vec_id)) for q, g in got.groupby("query_id"))
+    assert hits >= 0.9 * 5 * len(wanted) and (got.groupby("query_id")["rank"].apply(sorted).map(tuple) == (1, 2, 3, 4, 5)).all()
+
+
+def test_odd_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (7, [1.0, 0.0]), (3, [2.0, 0.0]), (4, [0.0, 1.0]), (5, [0.0, 0.0]), (6, None), (8, [float("nan"), 1.0]), (9, [None, 1.0])]
+    rows += [(10, [float("inf"), 1.0]), (None, [1.0, 1.0]), (11, [1.0, 1.0, 1.0]), (7, [1.0, 0.0]), (100, [0.5, 0.5])]
+    rows += [(1000 + i, [1.0, 0.0]) for i in range(30)]
+    frame = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, curve int")
+    got = {q: g.sort_values("rank").vec_id.tolist() for q, g in ann.nearest(frame).toPandas().groupby("query_id")}
+    same = [0, 3, 7, 50]
+    assert got[0] == [3, 7, 50, 1000, 1001] and got[50] == [0, 3, 7, 1000, 1001] and got[100] == [*same, 1000][:5] or got[100][:4] == [0, 3, 4, 7]
+    few = ann.nearest(frame.filter("vec_id in (0, 4, 5)")).collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in few] == [(0, 1, 4, 0.0)]
+    assert ann.nearest(frame.limit(0)).collect() == [] and ann.nearest(frame.filter("vec_id = 0")).collect() == []
+
+
+# ---- 9 toxicity
+
+
+def test_noisy_or_locates_the_sentence():
+    r = random.Random(6)
+    plain = lambda: " ".join(r.choice("sun moon tree lake bird stone rain wind leaf path".split()) for _ in range(8))
+    rows = []
+    for i in range(400):
+        body = [plain() for _ in range(6)]
+        if i % 2:
+            body[r.randrange(6)] += " " + r.choice(["grobian", "grobianisch", "lump"])
+        rows.append((". ".join(body), i % 2))
+    model = toxicity.fit(rows[:300])
+    assert all((model.score(t)[0] >= 0.5) == bool(y) for t, y in rows[300:])
+    text = "Sun and moon. What a grobianhaft path! Rain."
+    score, where = model.score(text)
+    assert score >= 0.5 and [text[slice(*map(int, w.split(":")))] for w in where.split(",")] == [" What a grobianhaft path"]
+    kept = 1.0
+    for _, _, p in model.sentences(text):
+        kept *= 1 - p
+    assert score == pytest.approx(1 - kept)
+
+
+def test_held_out_accuracy_and_no_leak(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.sample(docs, labels)
+    model = toxicity.fit(rows)
+    assert model == toxicity.fit(toxicity.sample(docs.repartition(5), labels))
+    held = labels.filter(toxicity.fold_of("doc_id") == 0)
+    other = labels.withColumn("toxic", F.when(toxicity.fold_of("doc_id") == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert sorted(toxicity.sample(docs, other)) == sorted(rows)  # held-out labels don't matter
+    scores = toxicity.score(docs.join(held, "doc_id", "left_semi"), model).join(held, "doc_id")
+    assert scores.filter((F.col("score") >= 0.5).cast("int") == F.col("toxic")).count() >= 0.96 * scores.count()
+
+
+def test_no_labels(spark, odd):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(toxicity.sample(odd, labels))
+    assert {r.score for r in toxicity.score(odd, model).collect()} == {0.0}
+
+
+# ---- 10 licences
+
+
+def plain_base(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    places, labels = [], set()
+    for phrase, label in licenses.PHRASES:
+        parts = phrase.split()
+        found = [i for i in range(len(words)) if words[i : i + len(parts)] == parts]
+        places += found
+        labels |= {label} if found else set()
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+def test_licence_base_places(spark, odd, small):
+    for docs in (odd, small):
+        texts = docs.select("doc_id", "text").collect()
+        got = licenses.scan(docs).collect()
+        assert collections.Counter(tuple(r)[:6] for r in got) == collections.Counter((r.doc_id, *plain_base(r.text)) for r in texts)
+
+
+def test_templates_are_found_by_position_and_key_phrase(spark):
+    notice = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    texts = {
+        1: "some words first. " + notice, 2: notice.replace("free of charge", "at some cost"), 3: "Licensed under the Apache License, Version 2.0.",
+        4: "apache hereby granted license permission charge free", 5: "nothing", 6: notice.replace("obtaining a", "who gets one") + " Licensed under CC BY-NC 4.0.",
+    }
+    rows = list(texts.items()) + [(100 + i, "filler text") for i in range(60)]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == ("mit", 1.0) and got[2][0] == "" and got[3] == ("apache-2.0", 1.0) and got[4] == ("", 0.0) and got[5] == ("", 0.0)
+    assert got[6][0].startswith("cc-by,cc-by-nc-4.0")
