@@ -7,6 +7,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from commitlens.model import Options
 
@@ -50,7 +51,7 @@ REPORTS = {
 VERBOSE = ("first_entity_revisions", "second_entity_revisions", "shared_revisions")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def two_places(values: pd.Series) -> pd.Series:
     """A double to two places as its exact binary value rounds, which Spark's own formatting doesn't do."""
     return values.map(lambda x: None if pd.isna(x) else f"{x + 0.0:.2f}")

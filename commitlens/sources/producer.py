@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import io
+import os
+import re
 import subprocess
+import tempfile
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from commitlens.functions.patterns import exclude_regexes
 
@@ -13,8 +18,6 @@ LOG = ("log", "--all", "--numstat", "--date=short", "--pretty=format:--%h--%ad--
 
 
 def _excluded(path: str, patterns: list[str]) -> bool:
-    import re
-
     for prefix, glob in map(exclude_regexes, patterns):
         if prefix is not None:
             if path.startswith(prefix):
@@ -37,11 +40,11 @@ def kept_lines(lines: Iterable[str], patterns: list[str]) -> Iterator[str]:
 def git_log(path: str = ".", after: str = "", excludes: list[str] | None = None) -> Iterator[str]:
     """The lines of a repository's log, streamed as git writes them; git's own words on failure."""
     command = ["git", "-C", path, *LOG, *([f"--after={after}"] if after else [])]
-    with subprocess.Popen(command, stdout=subprocess.PIPE, stderr=subprocess.PIPE, text=True, encoding="utf-8", errors="surrogateescape", newline="") as run:
-        yield from kept_lines(run.stdout, excludes or [])
-        said = run.stderr.read()
-    if run.returncode:
-        raise RuntimeError(f"git log failed: {said.strip()}")
+    with tempfile.TemporaryFile() as said, subprocess.Popen(command, stdout=subprocess.PIPE, stderr=said) as run:
+        yield from kept_lines(io.TextIOWrapper(run.stdout, "utf-8", "surrogateescape", newline="\n"), excludes or [])
+        if run.wait():
+            said.seek(0)
+            raise RuntimeError(f"git log failed: {said.read().decode('utf-8', 'replace').strip()}")
 
 
 def _git(path: str, *command: str) -> str:
@@ -62,10 +65,6 @@ def tracked_files(path: str = ".") -> tuple[list[str], str]:
 
 def tracked_texts(spark: SparkSession, path: str = ".") -> DataFrame:
     """file (relative to the root) and text of each tracked file that is text; Spark reads them in parallel."""
-    import os
-
-    from pyspark.sql import functions as F
-
     names, root = tracked_files(path)
     there = [n for n in names if os.path.isfile(f"{root}/{n}")]
     listed = spark.createDataFrame([(n,) for n in there], "file string")
