@@ -28,7 +28,16 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.cut_path = path
+    return kept
+
+
+def release(kept: DataFrame) -> None:
+    """Delete the files of a table from ``cut`` that nothing reads any more."""
+    spark = kept.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(kept.cut_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def per_batch(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:

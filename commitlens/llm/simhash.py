@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from commitlens.llm.common import arrow_schema, cut, per_batch
+from commitlens.llm.common import arrow_schema, cut, per_batch, release
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Fingerprints of one bucket that one task may hold; larger buckets are spread.
@@ -191,8 +191,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         joined = large.join(least(large), "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        stars = cut(small.filter("u <> v").distinct())
+        last, stars = stars, cut(small.filter("u <> v").distinct())
         before, now = now, state(stars)
+        release(last)
     roots = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
@@ -215,12 +216,13 @@ def all_edges(distinct: DataFrame, radius: int, bucket_rows: int) -> DataFrame:
     return edges if spread.isEmpty() else edges.unionByName(ball_edges(spread, radius))
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = RADIUS, prints: int = 4, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, prints: int = 4, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group its first row by doc_id (nulls last) stays.
 
     One fingerprint of 64 bits strays by more than ``radius`` for many copies
     with a few words changed. Texts are linked here if any of ``prints``
-    independent ones is within it. Of different texts with the first id the one
+    independent ones is within it; the first of these is ``near_duplicates``'s, so
+    what that links is linked here. Of different texts with the first id the one
     with the least hash stays, of rows that repeat both, any one.
     """
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")

@@ -105,7 +105,7 @@ def in_list(key: Column, levels: list[Level]) -> Column:
 
 
 def listed_sites(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f"{n}.{d}",) for n in LISTED_NAMES for d in LISTED_DOMAINS], "key string")
+    return spark.range(1).select(F.explode(F.array(*(F.lit(f"{n}.{d}") for n in LISTED_NAMES for d in LISTED_DOMAINS))).alias("key"))
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: tuple = RULES) -> DataFrame:
