@@ -216,7 +216,7 @@ def all_edges(distinct: DataFrame, radius: int, bucket_rows: int) -> DataFrame:
     return edges if spread.isEmpty() else edges.unionByName(ball_edges(spread, radius))
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, prints: int = 4, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, prints: int = 8, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group its first row by doc_id (nulls last) stays.
 
     One fingerprint of 64 bits strays by more than ``radius`` for many copies

@@ -40,7 +40,7 @@ def test_toxic_documents_go_and_others_stay(spark, stages):
 def test_one_document_of_each_group_stays(stages):
     before, after = stages["near_duplicates"]
     docs = sorted((r.doc_id, r.text) for r in before.collect())
-    prints = {i: simhash.fingerprints_of(t, 4, 4) for i, t in docs}
+    prints = {i: simhash.fingerprints_of(t, 4, 8) for i, t in docs}
     root = {i: i for i, _ in docs}
 
     def find(x):
