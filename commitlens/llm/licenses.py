@@ -144,3 +144,53 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def _strings(words: list[str]) -> Column:
     return F.array(*map(F.lit, words)).cast("array<string>")
+
+
+def sql() -> str:
+    """The query over ``documents`` in DuckDB's SQL, by joins on words and places."""
+    rows = lambda items: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in items)
+    template = [(t, i, w) for t, (_, text, _) in enumerate(TEMPLATES) for i, w in enumerate(text.split())]
+    labels = [(t, label) for t, (label, _, _) in enumerate(TEMPLATES)]
+    keys = set()
+    for t, (_, text, phrases) in enumerate(TEMPLATES):
+        parts = text.split()
+        for phrase in map(str.split, phrases):
+            offset = next(i for i in range(len(parts)) if parts[i : i + len(phrase)] == phrase)
+            keys |= {(t, offset + i, w) for i, w in enumerate(phrase)}
+    base = []
+    for phrase, label in PHRASES:
+        first, *rest = phrase.split()
+        joins = " ".join(f"JOIN place p{i} ON p{i}.rid = p.rid AND p{i}.i = p.i + {i} AND p{i}.word = '{w}'" for i, w in enumerate(rest, 1))
+        base.append(f"SELECT p.rid, p.i, '{label}' AS label FROM place p {joins} WHERE p.word = '{first}'")
+    return f"""
+    WITH files AS (
+      SELECT row_number() OVER () AS rid, doc_id,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+      FROM documents),
+    place AS (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i FROM files),
+    template(t, pos, word) AS (VALUES {rows(template)}),
+    named(t, label) AS (VALUES {rows(labels)}),
+    keyed(t, pos, word) AS (VALUES {rows(sorted(keys))}),
+    held AS (SELECT word, count(DISTINCT rid) AS n FROM place WHERE word IN (SELECT word FROM template) GROUP BY word),
+    indexed AS (
+      SELECT v.word, coalesce(n, 0) AS n FROM (SELECT DISTINCT word FROM template) v LEFT JOIN held USING (word)
+      WHERE coalesce(n, 0) <= {COMMON} * (SELECT count(*) FROM files)),
+    rare AS (
+      SELECT rid, word FROM (SELECT DISTINCT rid, word, n FROM place JOIN indexed USING (word))
+      QUALIFY row_number() OVER (PARTITION BY rid ORDER BY n, word) <= {LOOKED_UP}),
+    votes AS (
+      SELECT p.rid, t, p.i - pos AS start, count(*) AS n FROM place p JOIN rare r ON p.rid = r.rid AND p.word = r.word JOIN template x ON x.word = p.word GROUP BY ALL),
+    need AS (SELECT rid, t, count(*) AS need FROM rare JOIN template USING (word) GROUP BY ALL),
+    stand AS (
+      SELECT v.rid, v.t, v.start, count(*) AS stands FROM votes v JOIN keyed k ON k.t = v.t JOIN place p ON p.rid = v.rid AND p.i = v.start + k.pos AND p.word = k.word GROUP BY ALL),
+    hits AS (
+      SELECT v.rid, label, CAST(v.n AS DOUBLE) / need AS share
+      FROM votes v JOIN need q ON q.rid = v.rid AND q.t = v.t JOIN stand s ON s.rid = v.rid AND s.t = v.t AND s.start = v.start
+      JOIN (SELECT t, count(*) AS keys FROM keyed GROUP BY t) k ON k.t = v.t JOIN named m ON m.t = v.t
+      WHERE stands = keys AND CAST(v.n AS DOUBLE) / need >= {AGREE}),
+    base AS ({' UNION ALL '.join(base)}),
+    by_base AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY rid),
+    by_label AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM hits UNION SELECT rid, label FROM base) GROUP BY rid)
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+           coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+    FROM files LEFT JOIN by_base USING (rid) LEFT JOIN by_label USING (rid) LEFT JOIN (SELECT rid, max(share) AS score FROM hits GROUP BY rid) USING (rid)"""

@@ -72,4 +72,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op6_url_bloom_cascade": urlfilter.sql(),
     "op7_mix_water_filling": mixing.sql(),
+    "op10_license_rare_tokens": licenses.sql(),
 }
