@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from commitlens.llm.common import cut
+
 SEED = "mix-1"
 WEIGHTS, MAX_EPOCHS = (1, 2, 3), 3
 BINS = 4096
@@ -60,7 +62,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
     Documents in lower bins have one repetition more than ``whole``.
     """
     rows = docs.select("source", bin_of("doc_id").alias("bin"), words_in("text").alias("size"))
-    histogram = rows.groupBy("source", "bin").agg(F.sum("size").alias("words"))
+    histogram = cut(rows.groupBy("source", "bin").agg(F.sum("size").alias("words")))  # two uses, one pass over the texts
     running = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     placed = histogram.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0)))
     sizes = targets(histogram.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
