@@ -86,10 +86,9 @@ def fit(rows: list[tuple[str, int]], words: int = WORDS, rounds: int = ROUNDS) -
     labels = np.array([y for _, y in rows], dtype=float)
     if not len(rows) or labels.min() == labels.max():
         return Model(prior=float(labels.mean()) if len(rows) else 0.0)
-    bags = [[marks_of(m.group()) for m in SENTENCE.finditer(t or "")] for t, _ in rows]
     seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for bag, y in zip(bags, labels, strict=True):
-        seen[int(y)].update(set().union(*bag))
+    for t, y in rows:
+        seen[y].update(marks_of(t or ""))
     sizes = [max(1, int((labels == y).sum())) for y in (0, 1)]
 
     def uneven(w: str) -> float:
@@ -98,10 +97,11 @@ def fit(rows: list[tuple[str, int]], words: int = WORDS, rounds: int = ROUNDS) -
 
     chosen = sorted((w for w in seen[0] | seen[1] if seen[0][w] + seen[1][w] >= 3), key=lambda w: (-uneven(w), w))[:words]
     at = {w: i for i, w in enumerate(chosen)}
+    del seen
     sentence, word, doc = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            hits = [at[w] for w in sorted(s) if w in at]
+    for d, (t, _) in enumerate(rows):  # the sentences' words are made anew rather than held
+        for m in SENTENCE.finditer(t or ""):
+            hits = sorted(at[w] for w in marks_of(m.group()) if w in at)
             word += hits
             sentence += [len(doc)] * len(hits)
             doc.append(d)
