@@ -9,9 +9,9 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import __spark_entry__
 from commitlens.model import Options
 from commitlens.operators.coupling import coupling
+from commitlens.plans.catalogue import QUERIES
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
@@ -38,7 +38,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    found = __spark_entry__.queries() | {"coupling_micro": made_changes}
+    found = QUERIES | {"coupling_micro": made_changes}
 
     def timed(name: str) -> float:
         began = time.perf_counter()
@@ -47,7 +47,7 @@ def main() -> None:
 
     timed("entity_ownership")  # starts the session and its compilers
     seconds = {name: timed(name) for name in found}
-    print(json.dumps({"metric": "all_queries_wall_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf")}))
+    print(json.dumps({"metric": "catalogue_wall_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf")}))
     spark.stop()
 
 
