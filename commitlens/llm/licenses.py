@@ -6,7 +6,8 @@ file looks up the highest-IDF licence words that it has; each occurrence votes f
 a template at a relative position (its place less the template's), and votes that
 agree on one position are the intersection of the postings there. Where enough
 agree, the template's mandatory key phrases must stand at exactly those
-places. All of it runs on a row's own arrays, with DataFrame functions only; the
+places. The rarest words of a file may all be of one notice, or of its prose, so each
+template is looked up by words of its own too: its key words and its rarest. All of it runs on a row's own arrays, with DataFrame functions only; the
 one shuffle is the count of documents per licence word (a row per word and task).
 
 Edge cases: a null text is empty; a file without words has no places and no
@@ -18,6 +19,7 @@ table gives no rows. Columns other than ``doc_id`` and ``text`` are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -76,57 +78,62 @@ def licence_idf(words: DataFrame) -> dict[str, float]:
     return {w: math.log((total + 1) / (counts.get(w, 0) + 1)) for w in vocabulary if counts.get(w, 0) <= COMMON * total}
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, base places and labels, and the labels and score (best share of agreeing places) of verified templates."""
-    words = docs.select("doc_id", words_of("text").alias("words"))
-    idf = licence_idf(words)
-    postings: dict[str, list[tuple[int, int]]] = {}
-    for t, (_, text, _) in enumerate(TEMPLATES):
-        for i, w in enumerate(text.split()):
-            if w in idf:
-                postings.setdefault(w, []).append((t, i))
-    ranked = sorted(postings, key=lambda w: (-idf[w], w))
-    found = words.select(
-        "doc_id",
-        F.size("words").alias("n_words"),
-        *[phrase_places(F.col("words"), p).alias(f"p{i}") for i, (p, _) in enumerate(PHRASES)],
-        F.when(F.arrays_overlap("words", _strings(ranked)), F.col("words")).otherwise(_strings([])).alias("words"),
-    )
-    # the file's rarest licence words, and their places
-    found = found.withColumn("rare", F.slice(F.filter(_strings(ranked), lambda w: F.array_contains("words", w)), 1, LOOKED_UP))
-    at = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains("rare", x["w"]))
-    found = found.withColumn("at", F.when(F.size("rare") > 0, at).otherwise(F.array().cast("array<struct<w:string,i:int>>")))
+def verified(found: DataFrame, name: str) -> DataFrame:
+    """``found`` with ``name``: code, label and share of agreement where a template is verified by the looked-up ``postings``."""
+    at = F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    at = F.filter(at, lambda x: F.exists("postings", lambda p: p["w"] == x["w"]))
+    found = found.withColumn("at", F.when(F.size("postings") > 0, at).otherwise(F.array().cast("array<struct<w:string,i:int>>")))
     # each place votes: template * STEP + position
-    def votes(x: Column) -> Column:
-        chain = F.array().cast("array<bigint>")
-        for w in ranked:
-            codes = F.array(*(F.lit(t * STEP + BASE - i).cast("long") for t, i in postings[w]))
-            chain = F.when(x["w"] == w, codes).otherwise(chain)
-        return F.transform(chain, lambda c: c + x["i"])
-
-    found = found.withColumn("votes", F.array_sort(F.flatten(F.transform("at", votes))))
+    votes = F.transform("at", lambda x: F.transform(F.filter("postings", lambda p: p["w"] == x["w"]), lambda p: p["code"] + x["i"]))
+    found = found.withColumn("votes", F.array_sort(F.flatten(votes)))
     starts = F.filter(F.sequence(F.lit(0), F.size("votes") - 1), lambda i: (i == 0) | (F.get("votes", i) != F.get("votes", i - 1)))
     found = found.withColumn("starts", F.when(F.size("votes") > 0, starts).otherwise(F.array().cast("array<int>")))
     runs = F.transform("starts", lambda s, j: F.struct(F.get("votes", s).alias("code"), (F.coalesce(F.get("starts", j + 1), F.size("votes")) - s).alias("n")))
     found = found.withColumn("runs", runs)
 
-    def verified(r: Column) -> Column:
-        """Template number and share of agreement, or null where it fails."""
+    def hit(r: Column) -> Column:
+        """Null where it fails."""
         number, start = F.shiftright(r["code"], 40).cast("int"), (r["code"] % STEP - BASE).cast("int")
-        out = F.lit(None).cast("struct<label:string,share:double>")
+        out, share = F.lit(None).cast("string"), r["n"] / F.size(F.filter("postings", lambda p: p["t"] == number))
         for t, (label, text, keys) in enumerate(TEMPLATES):
             parts = text.split()
-            need = sum((F.array_contains("rare", w).cast("int") for w in parts if w in postings), F.lit(0))
             keyed = F.lit(True)
             for key in keys:
                 phrase = key.split()
                 offset = next(i for i in range(len(parts)) if parts[i : i + len(phrase)] == phrase)
                 keyed = keyed & (start + offset >= 0) & stands(F.col("words"), start + offset, phrase)
-            share = r["n"] / need
-            out = F.when((number == t) & F.coalesce(keyed, F.lit(False)) & (share >= AGREE), F.struct(F.lit(label).alias("label"), share.cast("double").alias("share"))).otherwise(out)
-        return out
+            out = F.when((number == t) & F.coalesce(keyed, F.lit(False)), F.lit(label)).otherwise(out)
+        return F.when(out.isNotNull() & (share >= AGREE), F.struct(r["code"].alias("code"), out.alias("label"), share.cast("double").alias("share")))
+
+    return found.withColumn(name, F.filter(F.transform("runs", hit), lambda h: h.isNotNull()))
+
 
-    found = found.withColumn("hits", F.filter(F.transform("runs", verified), lambda h: h.isNotNull()))
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, base places and labels, and the labels and score (best share of agreeing places) of verified templates."""
+    words = docs.select("doc_id", words_of("text").alias("words"))
+    idf = licence_idf(words)
+    ranked = sorted(idf, key=lambda w: (-idf[w], w))
+    needed = [(t, sorted({w for key in keys for w in key.split()})) for t, (_, _, keys) in enumerate(TEMPLATES)]
+    # each template's own words: its key words and the rarest of its others
+    own = {t: {*keys, *[w for w in ranked if w in TEMPLATES[t][1].split()][:LOOKED_UP]} for t, keys in needed}
+    found = words.select(
+        "doc_id",
+        F.size("words").alias("n_words"),
+        *[phrase_places(F.col("words"), p).alias(f"p{i}") for i, (p, _) in enumerate(PHRASES)],
+        "words",
+        # a template whose key words aren't all there can't be verified
+        F.array_compact(F.array(*(F.when(reduce(lambda a, b: a & b, (F.array_contains("words", w) for w in keys)), F.lit(t)) for t, keys in needed))).alias("open"),
+    )
+    # the file's rarest licence words
+    rare = F.slice(F.filter(_strings(ranked), lambda w: F.array_contains("words", w)), 1, LOOKED_UP)
+    found = found.withColumn("rare", F.when(F.size("open") > 0, rare).otherwise(_strings([])))
+    by_file = F.filter(_postings(lambda t, w: w in idf), lambda p: F.array_contains("open", p["t"]) & F.array_contains("rare", p["w"]))
+    by_own = F.filter(_postings(lambda t, w: w in own[t]), lambda p: F.array_contains("open", p["t"]) & F.array_contains("words", p["w"]))
+    for name, postings in (("by_file", by_file), ("by_own", by_own)):
+        found = found.withColumn("postings", F.when(F.size("open") > 0, postings).otherwise(_postings(lambda t, w: False)))
+        found = verified(found, name)
+    more = F.filter("by_own", lambda h: ~F.exists("by_file", lambda g: g["code"] == h["code"]))
+    found = found.withColumn("hits", F.concat("by_file", more))
     places = F.array_union(F.array_union("p0", "p1"), "p2")
     base = F.array_compact(F.array(*(F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(PHRASES))))
     n_base = sum((F.size(f"p{i}") for i in range(len(PHRASES))), F.lit(0))
@@ -142,6 +149,13 @@ def scan(docs: DataFrame) -> DataFrame:
     )
 
 
+def _postings(held: Callable[[int, str], bool]) -> Column:
+    """Template, word and code (template * STEP less the place) of the templates' places that ``held`` names."""
+    rows = [(t, w, t * STEP + BASE - i) for t, (_, text, _) in enumerate(TEMPLATES) for i, w in enumerate(text.split()) if held(t, w)]
+    structs = [F.struct(F.lit(t).alias("t"), F.lit(w).alias("w"), F.lit(c).cast("long").alias("code")) for t, w, c in rows]
+    return F.array(*structs).cast("array<struct<t:int,w:string,code:bigint>>")
+
+
 def _strings(words: list[str]) -> Column:
     return F.array(*map(F.lit, words)).cast("array<string>")
 

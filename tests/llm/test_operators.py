@@ -442,3 +442,13 @@ def test_templates_are_found_by_position_and_key_phrase(spark):
     got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] == ("mit", 1.0) and got[2][0] == "" and got[3] == ("apache-2.0", 1.0) and got[4] == ("", 0.0) and got[5] == ("", 0.0)
     assert got[6][0].startswith("cc-by,cc-by-nc-4.0")
+
+
+def test_files_with_many_notices_and_long_prose_keep_each_label(spark):
+    by = {label: text for label, text, _ in licenses.TEMPLATES if label != "apache-2.0"}
+    prose = "any person may copy files of this software free of charge with associated documentation granted or modify source form and conditions "
+    texts = {1: f"{by['mit']} x {by['gpl-3.0']} y {by['bsd']}", 2: " ".join(t for _, t, _ in licenses.TEMPLATES), 3: f"{prose * 40}{by['mpl-2.0']} {prose}"}
+    rows = [*texts.items(), *((100 + i, "filler text") for i in range(60))]
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == {"mit", "gpl", "gpl-3.0", "bsd"} and got[2] >= {label for label, _, _ in licenses.TEMPLATES} and got[3] == {"mpl-2.0"}
+    assert got[100] == {""}
