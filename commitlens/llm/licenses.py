@@ -1,18 +1,19 @@
 """Licence scan with a positional index of rare words.
 
-Licence notices are kept as templates. Their words that few documents of the
-corpus hold are indexed: for each, the templates and places where it stands. A
+Licence notices are kept as templates. Their words are indexed: for each, the
+templates and places where it stands. Of those that few documents of the corpus hold, a
 file looks up the highest-IDF licence words that it has; each occurrence votes for
 a template at a relative position (its place less the template's), and votes that
 agree on one position are the intersection of the postings there. Where enough
 agree, the template's mandatory key phrases must stand at exactly those
 places. The rarest words of a file may all be of one notice, or of its prose, so each
-template is looked up by words of its own too: its key words and its rarest. All of it runs on a row's own arrays, with DataFrame functions only; the
+template is looked up by words of its own too: its key words and its rarest, however common
+they are. All of it runs on a row's own arrays, with DataFrame functions only; the
 one shuffle is the count of documents per licence word (a row per word and task).
 
 Edge cases: a null text is empty; a file without words has no places and no
-labels, score 0; a table in which all licence words are common indexes none of
-them and finds the base phrases only; rows that repeat are scanned each; an empty
+labels, score 0; in a table in which all licence words are common, templates are
+found by their own words only; rows that repeat are scanned each; an empty
 table gives no rows. Columns other than ``doc_id`` and ``text`` are ignored.
 """
 
@@ -43,7 +44,7 @@ TEMPLATES = (
     ("all-rights-reserved", "copyright all rights reserved", ("all rights reserved",)),
 )
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Words in more than this share of the documents are not indexed; so many of the rarest that a file has are looked up.
+#: Words in more than this share of the documents aren't among a file's rarest; so many of the rarest that a file or a template has are looked up.
 COMMON, LOOKED_UP = 0.2, 8
 #: Of a template's looked-up places, the share that must agree on a position.
 AGREE = 0.5
@@ -68,14 +69,15 @@ def phrase_places(words: Column, phrase: str) -> Column:
     return F.when(has & (F.size(words) >= len(parts)), places).otherwise(F.array().cast("array<int>"))
 
 
-def licence_idf(words: DataFrame) -> dict[str, float]:
-    """IDF over all documents of the licence words that few of them hold. At most a row per licence word comes to the driver."""
+def licence_idf(words: DataFrame) -> tuple[dict[str, float], set[str]]:
+    """IDF over all documents of the licence words, and those that few documents hold. At most a row per licence word comes to the driver."""
     vocabulary = sorted({w for _, text, _ in TEMPLATES for w in text.split()})
     # "" stands for the document itself
     held = words.select(F.explode(F.array_append(F.array_intersect("words", F.array(*map(F.lit, vocabulary))), "")).alias("word"))
     counts = {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count("*").alias("n")).collect()}
     total = counts.pop("", 0)
-    return {w: math.log((total + 1) / (counts.get(w, 0) + 1)) for w in vocabulary if counts.get(w, 0) <= COMMON * total}
+    idf = {w: math.log((total + 1) / (counts.get(w, 0) + 1)) for w in vocabulary}
+    return idf, {w for w in vocabulary if counts.get(w, 0) <= COMMON * total}
 
 
 def verified(found: DataFrame, name: str) -> DataFrame:
@@ -111,7 +113,7 @@ def verified(found: DataFrame, name: str) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, base places and labels, and the labels and score (best share of agreeing places) of verified templates."""
     words = docs.select("doc_id", words_of("text").alias("words"))
-    idf = licence_idf(words)
+    idf, few = licence_idf(words)
     ranked = sorted(idf, key=lambda w: (-idf[w], w))
     needed = [(t, sorted({w for key in keys for w in key.split()})) for t, (_, _, keys) in enumerate(TEMPLATES)]
     # each template's own words: its key words and the rarest of its others
@@ -125,9 +127,9 @@ def scan(docs: DataFrame) -> DataFrame:
         F.array_compact(F.array(*(F.when(reduce(lambda a, b: a & b, (F.array_contains("words", w) for w in keys)), F.lit(t)) for t, keys in needed))).alias("open"),
     )
     # the file's rarest licence words
-    rare = F.slice(F.filter(_strings(ranked), lambda w: F.array_contains("words", w)), 1, LOOKED_UP)
+    rare = F.slice(F.filter(_strings([w for w in ranked if w in few]), lambda w: F.array_contains("words", w)), 1, LOOKED_UP)
     found = found.withColumn("rare", F.when(F.size("open") > 0, rare).otherwise(_strings([])))
-    by_file = F.filter(_postings(lambda t, w: w in idf), lambda p: F.array_contains("open", p["t"]) & F.array_contains("rare", p["w"]))
+    by_file = F.filter(_postings(lambda t, w: w in few), lambda p: F.array_contains("open", p["t"]) & F.array_contains("rare", p["w"]))
     by_own = F.filter(_postings(lambda t, w: w in own[t]), lambda p: F.array_contains("open", p["t"]) & F.array_contains("words", p["w"]))
     for name, postings in (("by_file", by_file), ("by_own", by_own)):
         found = found.withColumn("postings", F.when(F.size("open") > 0, postings).otherwise(_postings(lambda t, w: False)))

@@ -452,3 +452,13 @@ def test_files_with_many_notices_and_long_prose_keep_each_label(spark):
     got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] == {"mit", "gpl", "gpl-3.0", "bsd"} and got[2] >= {label for label, _, _ in licenses.TEMPLATES} and got[3] == {"mpl-2.0"}
     assert got[100] == {""}
+
+
+def test_a_notice_that_most_files_hold_is_found_like_a_rare_one(spark):
+    by = {label: text for label, text, _ in reversed(licenses.TEMPLATES)}
+    notice, scattered = by["apache-2.0"], "under version 0 said the apache license was not 2 be licensed"
+    for common in (40, 0):
+        rows = [*((10 + i, notice) for i in range(common)), (1, notice), (2, f"{by['mit']} {notice}"), (3, scattered), *((100 + i, "filler text") for i in range(60))]
+        got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got[1] == ("apache-2.0", 1.0) and got[2] == ("apache-2.0,mit", 1.0) and got[3] == got[100] == ("", 0.0)
+        assert all(got[10 + i] == got[1] for i in range(common))
