@@ -135,15 +135,21 @@ def graph(text: str, known: list[tuple[str, int, int]]) -> tuple[list, list, lis
             if s < b and e > a and not fixed[i]:
                 fixed[i] = 1 + ORDER[kind]
     chain = [(i, i + 1) for i in range(len(found) - 1) if found[i + 1][0] - found[i][1] <= 3]
+    same = [(i, key) for i, (a, b) in enumerate(found) if (key := skip_key(text[a:b]))]
     last: dict[str, int] = {}
-    sure: dict[str, int] = {}
-    skip = []
-    for i, (a, b) in enumerate(found):
-        if key := skip_key(text[a:b]):  # links to the one before and to the last known one: linear in the repeats
-            skip += [(j, i) for j in {last.get(key), sure.get(key)} - {None}]
-            last[key] = i
+    links = set()  # to the one before, and to the nearest known ones on both sides: linear in the repeats
+    for i, key in same:
+        if key in last:
+            links.add((last[key], i))
+        last[key] = i
+    for way in (same, same[::-1]):
+        sure: dict[str, int] = {}
+        for i, key in way:
+            if key in sure:
+                links.add((min(i, sure[key]), max(i, sure[key])))
             if fixed[i]:
                 sure[key] = i
+    skip = sorted(links, key=lambda x: x[::-1])
     return found, rows, fixed, chain, skip
 
 
@@ -229,7 +235,7 @@ def beliefs(x, fixed, chain, skip, weights: tuple, rounds: int = 6):  # noqa: AN
     k = len(LABELS)
     unary = x @ w
     held = fixed > 0
-    unary[held] = -60.0
+    unary[held] = -1e9  # more than the messages of any number of repeats
     unary[held, fixed[held]] = 0.0
     links = np.concatenate([chain, skip]).astype(np.int64)
     potential = np.concatenate([np.broadcast_to(c, (len(chain), k, k)), np.broadcast_to(s * np.eye(k), (len(skip), k, k))])

@@ -48,6 +48,13 @@ def test_skip_links_carry_a_label_to_distant_repeats():
     assert alone == []
 
 
+@pytest.mark.parametrize("n", [1, 10, 500])
+def test_every_repeat_before_and_after_the_known_form_is_found(n):
+    text = "so 555-6503 it. " * n + "then +1 (499) 555-6503 end" + " or 555.6503 so" * n
+    ((_, added),) = pii.all_spans([text], pii.fitted())
+    assert [text[a:b] for _, a, b in added] == ["555-6503"] * n + ["555.6503"] * n and {k for k, _, _ in added} == {"phone"}
+
+
 def test_pii_result_does_not_depend_on_the_batch():
     texts = ["call +1 (499) 555-6503 or 555-6503", "clean", "ip 10.0.0.1 then 10.0.0.1"]
     whole = pii.all_spans(texts, pii.fitted())
