@@ -3,7 +3,8 @@
 Base spans come from fixed patterns. The field then labels the tokens that hold
 a digit or an ``@`` (all others are fixed to "none": they bear no evidence):
 neighbouring tokens share a chain potential, and tokens of a document that are
-the same but for punctuation, however distant, share a skip potential. Tokens in
+the same but for punctuation, however distant, share a skip potential; so do a known
+number and tokens, or runs of them, whose digits are the number's or its last seven and more. Tokens in
 a base span are fixed to its kind, so that the fields' messages carry it to the
 bare repeats elsewhere in the document ("555-6503" after "+1 (499) 555-6503").
 Sum-product messages are passed a fixed number of rounds over all the graphs of
@@ -40,7 +41,12 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]+")
-TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*")
+#: Tokens stand between blanks and these.
+APART = r":,;=\"'|<>{}\[\]"
+TOKEN = re.compile(rf"(?<![^\s{APART}])[^\s{APART}0-9@]*+[0-9@][^\s{APART}]*")
+#: What may stand between the digits of one number, and so many digits of a number's end make it known.
+BLANK, PARTED = re.compile(r"\s"), re.compile(rf"[{APART}]")
+INSIDE, LEAST, MOST = re.compile(r"[ ().+-]{1,3}"), 7, 19
 
 
 def luhn(digits: str) -> bool:
@@ -123,34 +129,82 @@ def skip_key(word: str) -> str:
     return digits if len(digits) >= 7 and not any(c.isalpha() for c in word) else ""
 
 
-def graph(text: str, known: list[tuple[str, int, int]]) -> tuple[list, list, list, list, list]:
-    """Tokens, evidence, fixed labels (0 where free), chain links and skip links of one text."""
-    found = tokens(text)
-    rows = [evidence(text, a, b) for a, b in found]
-    fixed, known, at = [0] * len(found), sorted(known, key=lambda s: s[1:]), 0
+def known_ends(text: str, known: list[tuple[str, int, int]]) -> dict[int, list[str]]:
+    """By the start of a known card or phone number: its digits and their ends."""
+    out = {}
+    for kind, a, b in known:
+        if kind in ("card", "phone"):
+            digits = "".join(DIGITS.findall(text[a:b]))
+            out[a] = [digits[-n:] for n in range(LEAST, len(digits) + 1)]
+    return out
+
+
+def held(found: list[tuple[int, int]], known: list[tuple[str, int, int]]) -> tuple[list[int], list[list[int]]]:
+    """Of each token its fixed label (0 where free), and the starts of the known spans that begin with it."""
+    fixed, starts, at, done = [0] * len(found), [[] for _ in found], 0, set()
     for i, (a, b) in enumerate(found):
         while at < len(known) and known[at][2] <= a:
             at += 1
         for kind, s, e in known[at : at + 8]:
-            if s < b and e > a and not fixed[i]:
-                fixed[i] = 1 + ORDER[kind]
-    chain = [(i, i + 1) for i in range(len(found) - 1) if found[i + 1][0] - found[i][1] <= 3]
-    same = [(i, key) for i, (a, b) in enumerate(found) if (key := skip_key(text[a:b]))]
+            if s < b and e > a:
+                fixed[i] = fixed[i] or 1 + ORDER[kind]
+                if s not in done:
+                    done.add(s)
+                    starts[i].append(s)
+    return fixed, starts
+
+
+def with_runs(text: str, found: list[tuple[int, int]], fixed: list[int], ends: set[str], whole_ends: set[str]) -> tuple[list[tuple[int, int]], list[str]]:
+    """The tokens and their keys, with runs of free ones that are together one of ``ends``: from the last on, the longest.
+
+    A run of ``whole_ends`` (phones) becomes one token; the others' (cards, known in groups) have the run's key each.
+    """
+    digits = ["" if fixed[i] or any(c.isalpha() or c == "@" for c in text[a:b]) else "".join(DIGITS.findall(text[a:b])) for i, (a, b) in enumerate(found)]
+    out, keys, i = [], [], len(found) - 1
+    while i >= 0:
+        whole, j, best, key = digits[i], i, i, skip_key(text[slice(*found[i])])
+        while digits[j] and len(whole) <= MOST:
+            if whole in ends:
+                best, key = j, whole
+            if not j or not INSIDE.fullmatch(text, found[j - 1][1], found[j][0]):
+                break
+            j -= 1
+            whole = digits[j] + whole
+        run = [(found[best][0], found[i][1])] if key in whole_ends else found[best : i + 1][::-1]
+        out += run
+        keys += [key] * len(run)
+        i = best - 1
+    return out[::-1], keys[::-1]
+
+
+def graph(text: str, known: list[tuple[str, int, int]]) -> tuple[list, list, list, list, list]:
+    """Tokens, evidence, fixed labels (0 where free), chain links and skip links of one text."""
+    found, known = tokens(text), sorted(known, key=lambda s: s[1:])
+    fixed, starts = held(found, known)
+    ends, keys = known_ends(text, known), [skip_key(text[a:b]) for a, b in found]
+    if ends:
+        every, phones = ({e for k, a, _ in known if k in kinds for e in ends[a]} for kinds in (("card", "phone"), ("phone",)))
+        found, keys = with_runs(text, found, fixed, every, phones)
+        fixed, starts = held(found, known)
+    rows = [evidence(text, a, b) for a, b in found]
+    # pieces of one word are apart
+    chain = [(i, i + 1) for i in range(len(found) - 1) if found[i + 1][0] - found[i][1] <= 3 and BLANK.search(text, found[i][1], found[i + 1][0])]
+    gives = [[*([key] if key and fixed[i] else []), *(e for s in starts[i] for e in ends.get(s, []))] for i, key in enumerate(keys)]
+    order = [i for i in range(len(found)) if keys[i] or gives[i]]
     last: dict[str, int] = {}
     links = set()  # to the one before, and to the nearest known ones on both sides: linear in the repeats
-    for i, key in same:
-        if key in last:
-            links.add((last[key], i))
-        last[key] = i
-    for way in (same, same[::-1]):
+    for i in order:
+        if keys[i]:
+            if keys[i] in last:
+                links.add((last[keys[i]], i))
+            last[keys[i]] = i
+    for way in (order, order[::-1]):
         sure: dict[str, int] = {}
-        for i, key in way:
-            if key in sure:
-                links.add((min(i, sure[key]), max(i, sure[key])))
-            if fixed[i]:
-                sure[key] = i
-    skip = sorted(links, key=lambda x: x[::-1])
-    return found, rows, fixed, chain, skip
+        for i in way:
+            if keys[i] in sure:
+                links.add((min(i, sure[keys[i]]), max(i, sure[keys[i]])))
+            sure |= dict.fromkeys(gives[i], i)
+    return found, rows, fixed, chain, sorted(links, key=lambda x: x[::-1])
 
 
 def made_sentences(seed: int, n: int) -> Iterator[list[tuple[str, str]]]:
@@ -269,7 +323,7 @@ def all_spans(texts: list[str], weights: tuple, sure: float = 0.9) -> list[tuple
     x, fixed, chain, skip = [], [], [], []
     for text, known in zip(texts, base, strict=True):
         found, rows, held, next_to, same = graph(text, known)
-        graphs.append((found, at, {i for i, _ in next_to}))
+        graphs.append((found, at, {i for i, j in next_to if not PARTED.search(text, found[i][1], found[j][0])}))
         x += rows
         fixed += held
         chain += [(i + at, j + at) for i, j in next_to]

@@ -55,6 +55,27 @@ def test_every_repeat_before_and_after_the_known_form_is_found(n):
     assert [text[a:b] for _, a, b in added] == ["555-6503"] * n + ["555.6503"] * n and {k for k, _, _ in added} == {"phone"}
 
 
+FORMS = ["499-555-6503", "4995556503", "14995556503", "(499) 555-6503", "499 555 6503", "1 499 555 65 03", "5556503"]
+
+
+@pytest.mark.parametrize("known_first", [True, False])
+def test_repeats_with_more_digits_or_between_punctuation_are_found(known_first):
+    rest = "".join(f"so {form} it and then " for form in FORMS) + 'at tel:5556503 or a,4995556503,b or {"p":"5556503"} in'
+    text = f"call +1 (499) 555-6503 now and {rest}" if known_first else f"{rest} then call +1 (499) 555-6503 now"
+    ((_, added),) = pii.all_spans([text], pii.fitted())
+    assert [(k, text[a:b]) for k, a, b in added] == [("phone", w) for w in [*FORMS, "5556503", "4995556503", "5556503"]]
+
+
+def test_groups_that_end_a_known_card_are_found():
+    text = "pay 4111 1111 1111 1111 now and so 1111 1111 1111 it, then 1111 1111 in"
+    assert [(k, text[a:b]) for k, a, b in pii.all_spans([text], pii.fitted())[0][1]] == [("card", "1111 1111 1111"), ("card", "1111 1111")]
+
+
+def test_numbers_that_are_no_end_of_a_known_one_are_left():
+    text = "call +1 (499) 555-6503 now and 20240103 or 5556504, 12:30:45 and 6503 then 2024-01-03"
+    assert pii.all_spans([text], pii.fitted())[0][1] == []
+
+
 def test_pii_result_does_not_depend_on_the_batch():
     texts = ["call +1 (499) 555-6503 or 555-6503", "clean", "ip 10.0.0.1 then 10.0.0.1"]
     whole = pii.all_spans(texts, pii.fitted())
