@@ -12,10 +12,17 @@ from pyspark.sql import functions as F
 
 from commitlens.sources.storage import shared_dir
 
-#: Rows of one Arrow batch. Texts can be long, so a batch is kept to few of them.
+#: Rows that a function sees at once. Texts can be long, so these are few; Spark's own batches are bounded in bytes.
 BATCH_ROWS = 256
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, without a session setting that other queries would share."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,13 +49,11 @@ def release(kept: DataFrame) -> None:
 
 def per_batch(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
     """``make()``, called once a task, gives a function from a batch's columns (lists) to an iterable of rows."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    target = arrow_schema(spark, schema)
+    target = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = None
-        for batch in batches:
+        for batch in slices(batches):
             f = f or make()
             rows = list(f([c.to_pylist() for c in batch.columns]))
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(target)
@@ -62,12 +67,11 @@ def per_text(docs: DataFrame, make: Callable[[], Callable], keep: bool = False)
 
     ``make()``, called once a task, gives a function from a batch's texts to new texts or to booleans.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = None
-        for batch in batches:
+        for batch in slices(batches):
             f = f or make()
             field, out = batch.schema.field(at), f(batch.column(at).to_pylist())
             yield batch.filter(pa.array(out, pa.bool_())) if keep else batch.set_column(at, field, pa.array(out, field.type))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commitlens.llm.common import BATCH_ROWS, arrow_schema, cut, shared_dir
+from commitlens.llm.common import arrow_schema, cut, shared_dir, slices
 
 ROW = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -117,12 +117,11 @@ def store(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """Write the payloads to tar shards in ``folder``; the index: doc_id, n_bytes, digest, shard, offset, length."""
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     schema = arrow_schema(spark, INDEX)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = None
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n, payload = payload_of(text)
@@ -143,12 +142,11 @@ def _from_shards(index: DataFrame, read: Callable, extra: str) -> DataFrame:
     """``index`` with the columns that ``read(file, offset, length)`` gives; each payload of a batch is read once."""
     target = INDEX + ", " + extra
     spark = index.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     schema = arrow_schema(spark, target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uri, file = None, None
-        for batch in batches:
+        for batch in slices(batches):
             rows = batch.to_pylist()
             seen: dict[tuple, tuple] = {}
             for r in sorted(rows, key=lambda r: (r["shard"], r["offset"])):

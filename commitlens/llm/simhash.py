@@ -8,33 +8,60 @@ r positions leave at least one v orthogonal to all of these, so they agree under
 that mask: with 2^(r+1)-1 tables no pair within the radius is missed (31 tables
 for r = 4, each keeping about half of the bits).
 
-Copies collapse to one row per fingerprint first. Within a bucket of a table the
-links are checked and a spanning forest of them kept, so that a bucket of m
-fingerprints gives less than m edges. A bucket that is too large for one task
-gives its members to ``ball_edges``, which finds the links between them exactly and
-spread over the cluster: two fingerprints within r both lie within r/2 of some
-point. Edges become components by alternating large-star and small-star steps.
+Copies collapse to one row per fingerprint (or text) first. Groups grow in rounds:
+within each bucket of a table every member finds the least group that it links
+to, over all buckets one such link per group is kept (an aggregate, so no more
+links than members), and groups that link become one. The next round has only
+members of groups that linked, until nothing links. So links stay in proportion
+to the members, however dense a group is, and none is lost.
+
+A bucket that is too large for one task is streamed through it in blocks, its
+smallest groups first: each block meets itself and the first ``bucket_rows``
+members, which is exact if only one group lies beyond these. Where more do, what is left between
+them is found by shared points, spread over the cluster: two fingerprints within r
+both lie within r/2 of some point.
 
 Edge cases: a null text is empty; a text without words has fingerprint zero and
 links like any other; null doc_ids count as larger than all others (a component
-of none but nulls has a null id); rows that repeat give a row each; an empty
-table gives no rows. Columns other than ``doc_id`` and ``text`` are ignored.
+of none but nulls has a null id); rows that repeat give a row each; very long texts
+are hashed in blocks; an empty table gives no rows. Columns other than ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from commitlens.llm.common import arrow_schema, cut, per_batch, release
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
-#: Fingerprints of one bucket that one task may hold; larger buckets are spread.
+#: Members of one bucket that meet all others in one task.
 BUCKET_ROWS = 4096
+#: Rows that a task gathers before it looks at their buckets, and that meet at once.
+CHUNK_ROWS, BLOCK = 1 << 16, 128
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Members link if one of their prints, first with first and so on, differs in at most ``radius`` bits.
+
+    With ``wide`` those link too that meet in a bucket and differ in at most so many
+    bits of that print and the next together. The masks keep about half of the first ``bits`` bits.
+    """
+
+    radius: int = RADIUS
+    bits: int = BITS
+    wide: int = -1
+    bucket_rows: int = BUCKET_ROWS
+
+
+#: The stage's: five-word shingles that overlap by 0.8 differ in about 19 of 128 bits, by 0.7 in 25, by 0.5 in 34.
+STAGE_SHINGLE, STAGE_PRINTS, STAGE = 5, 6, Rule(bits=48, wide=24)
 
 
 def fingerprints_of(text: str | None, shingle: int = SHINGLE, prints: int = 1) -> list[int]:
@@ -77,16 +104,21 @@ def mixed(hashes, number: int):  # noqa: ANN001, ANN201
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, prints: int = 1) -> DataFrame:
-    """doc_id, text_hash, fps (the fingerprints as signed longs)."""
+    """doc_id, hash1, hash2 (of the text), fps (the fingerprints as signed longs)."""
 
     def make() -> Callable:
         def rows(columns: list[list]) -> Iterator[tuple]:
-            for doc_id, text, text_hash in zip(*columns, strict=True):
-                yield doc_id, text_hash, list(map(signed, fingerprints_of(text, shingle, prints)))
+            for doc_id, text, *hashes in zip(*columns, strict=True):
+                yield doc_id, *hashes, list(map(signed, fingerprints_of(text, shingle, prints)))
 
         return rows
 
-    return per_batch(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), make, "doc_id long, text_hash long, fps array<long>")
+    return per_batch(docs.select("doc_id", "text", *text_hashes()), make, "doc_id long, hash1 long, hash2 long, fps array<long>")
+
+
+def text_hashes() -> list[Column]:
+    """128 bits: at billions of texts 64 would meet by chance."""
+    return [F.xxhash64("text").alias("hash1"), F.xxhash64(F.lit(1), "text").alias("hash2")]
 
 
 def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -99,144 +131,217 @@ def signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def spanning_edges(points, radius: int):  # noqa: ANN001, ANN201
-    """Edges of a spanning forest of the links within ``radius`` among a few sorted uint64 points."""
-    import numpy as np
+def placed(members: DataFrame, prints: int, rule: Rule) -> DataFrame:
+    """key, label, a, b: each member (label, size, fps) in each bucket that it belongs to, with that print and the next."""
+    each = members.select("label", "size", F.explode(F.array(*(F.struct(F.lit(i).alias("print"), F.get("fps", F.lit(i)).alias("a"), F.get("fps", F.lit((i + 1) % prints)).alias("b")) for i in range(prints)))).alias("p"))
+    keys = [F.xxhash64(F.col("p.a").bitwiseAND(F.lit(signed(mask))), F.lit(number), "p.print") for number, mask in enumerate(covering_masks(rule.radius, rule.bits))]
+    rows = each.select(F.explode(F.array(*keys)).alias("key"), "size", "label", F.col("p.a").alias("a"), *([F.col("p.b").alias("b")] if rule.wide >= 0 else []))
+    return rows.repartition("key").sortWithinPartitions("key", "size", "label").drop("size")
 
-    left, edges = points, []
-    while left.size > 1:
-        reached, left = [left[0]], left[1:]
-        while reached and left.size:
-            x = reached.pop()
-            near = np.bitwise_count(left ^ x) <= radius
-            if near.any():
-                found, left = left[near], left[~near]
-                edges += [(x, y) for y in found]
-                reached += list(found)
-    return edges
-
-
-def bucket_edges(distinct: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """From distinct (print, fp): (a, b) of links found in the tables' buckets; (a, null) for the members of buckets over ``bucket_rows``."""
-    keys = [F.xxhash64(F.col("fp").bitwiseAND(F.lit(signed(mask))), F.lit(number), "print") for number, mask in enumerate(covering_masks(radius))]
-    placed = distinct.select("fp", F.explode(F.array(*keys)).alias("key")).repartition("key").sortWithinPartitions("key", "fp")
-    placed.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    schema = arrow_schema(placed.sparkSession, "a long, b long")
+
+def bucket_links(rows: DataFrame, rule: Rule) -> DataFrame:
+    """x, y: y is the least other label that label x links to; (x, null) for the labels of a bucket in which links may be left."""
+    schema = arrow_schema(rows.sparkSession, "x long, y long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], schema=schema)
-
-        def settle(key, fp) -> list[tuple]:  # noqa: ANN001
-            bounds = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
-            sizes, found = np.diff(bounds), []
-            for g in np.flatnonzero(sizes > 1).tolist():
-                points = np.unique(fp[bounds[g] : bounds[g + 1]].view(np.uint64))
-                found += [(signed(int(x)), signed(int(y))) for x, y in spanning_edges(points, radius)]
+        none = np.iinfo(np.int64).max
+
+        def least_of(own: list, others: list):  # noqa: ANN202
+            """Of each of ``own`` (key, label, a, b) the least other label among those of ``others`` that link to it."""
+            found = np.empty(len(own[0]), np.int64)
+            for at in range(0, len(found), BLOCK):
+                apart = [np.bitwise_count(x[at : at + BLOCK, None] ^ y[None, :]) for x, y in zip(own[2:], others[2:], strict=True)]
+                near = apart[0] <= rule.radius
+                if rule.wide >= 0:
+                    near |= apart[0] + apart[1] <= rule.wide
+                near &= own[1][at : at + BLOCK, None] != others[1][None, :]
+                found[at : at + BLOCK] = np.where(near, others[1][None, :], none).min(1, initial=none)
             return found
 
-        held_key, held_fp, spread = np.empty(0, np.int64), np.empty(0, np.int64), None
-        for batch in batches:
-            key, fp = (np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip((held_key, held_fp), (batch.column("key"), batch.column("fp")), strict=True))
-            if spread is not None:  # the rest of a bucket that is spread
-                n = int(np.searchsorted(key, spread, side="right"))
-                yield out([(x, None) for x in fp[:n].tolist()])
-                key, fp = key[n:], fp[n:]
-                spread = None if len(key) else spread
-            if not len(key):
-                held_key, held_fp = key, fp
+        def out(x, y=None) -> pa.RecordBatch:  # noqa: ANN001
+            """Of each label the least it links to; without ``y``, the labels alone."""
+            if y is None:
+                x = np.unique(x)
+                return pa.RecordBatch.from_arrays([pa.array(x), pa.nulls(len(x), pa.int64())], schema=schema)
+            some = y < none
+            x, y = x[some], y[some]
+            order = np.lexsort((y, x))
+            x, y = x[order], y[order]
+            first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))[: len(x)]
+            return pa.RecordBatch.from_arrays([pa.array(x[first]), pa.array(y[first])], schema=schema)
+
+        def settled(rows: list) -> Iterator[pa.RecordBatch]:
+            """Whole buckets: the many small ones at once, by distance within them, the others each in blocks."""
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(rows[0])) + 1, [len(rows[0])]])
+            sizes = np.diff(edges)
+            least, of = np.full(len(rows[0]), none), np.repeat(sizes, sizes)
+            few = [c[(of > 1) & (of <= 32)] for c in rows]
+            found = np.full(len(few[0]), none)
+            for step in range(1, 32):
+                i = np.flatnonzero(few[0][step:] == few[0][:-step]) if len(few[0]) > step else few[0][:0]
+                if not len(i):
+                    break
+                apart = [np.bitwise_count(c[i] ^ c[i + step]) for c in few[2:]]
+                near = apart[0] <= rule.radius
+                if rule.wide >= 0:
+                    near |= apart[0] + apart[1] <= rule.wide
+                i = i[near & (few[1][i] != few[1][i + step])]
+                found[i] = np.minimum(found[i], few[1][i + step])
+                found[i + step] = np.minimum(found[i + step], few[1][i])
+            least[(of > 1) & (of <= 32)] = found
+            for g in np.flatnonzero(sizes > 32).tolist():
+                a, b = int(edges[g]), int(edges[g + 1])
+                if b - a > rule.bucket_rows:
+                    yield from Stream().feed([c[a:b] for c in rows])
+                elif rows[1][a : b].min() < rows[1][a : b].max():
+                    own = [c[a:b] for c in rows]
+                    least[a:b] = least_of(own, own)
+            yield out(rows[1], least)
+
+        class Stream:
+            """A bucket that passes block by block; its first rows are held and met by all."""
+
+            def __init__(self) -> None:
+                self.held: list = []
+                self.beyond, self.left = None, False
+
+            def feed(self, rows: list) -> Iterator[pa.RecordBatch]:
+                for at in range(0, len(rows[0]), rule.bucket_rows):
+                    block = [c[at : at + rule.bucket_rows] for c in rows]
+                    room = rule.bucket_rows - (len(self.held[0]) if self.held else 0)
+                    every = [np.concatenate(c) for c in zip(self.held, block, strict=True)] if self.held else block
+                    if every[1].min() < every[1].max():
+                        yield out(block[1], least_of(block, every))
+                        if self.held:
+                            yield out(self.held[1], least_of(self.held, block))
+                    self.held = [c[: rule.bucket_rows] for c in every]
+                    rest = block[1][room:]
+                    if len(rest):
+                        self.beyond = rest[0] if self.beyond is None else self.beyond
+                        if not self.left and (rest != self.beyond).any():
+                            self.left = True
+                            yield out(np.append(self.held[1], self.beyond))
+                        if self.left:
+                            yield out(rest)
+
+        stream, stream_key, parts, count = None, None, [], 0
+        for batch in _and_last(batches):
+            if batch is not None:
+                key, label, *words = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                parts.append([key, label, *(w.view(np.uint64) for w in words)])
+                count += batch.num_rows
+                if count < CHUNK_ROWS:
+                    continue
+            if not count:
                 continue
-            last = int(np.searchsorted(key, key[-1], side="left"))
-            if rows := settle(key[:last], fp[:last]):
-                yield out(rows)
-            held_key, held_fp = key[last:], fp[last:]
-            if len(held_key) > bucket_rows:
-                yield out([(x, None) for x in held_fp.tolist()])
-                spread, held_key, held_fp = int(held_key[0]), held_key[:0], held_fp[:0]
-        if len(held_key) and (rows := settle(held_key, held_fp)):
-            yield out(rows)
-
-    return placed.select("key", "fp").mapInArrow(run, "a long, b long")
-
-
-def ball_edges(members: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b) that connect what lies within ``radius`` among ``members`` (fp), without comparing pairs.
-
-    Each goes to all points that differ from it in at most radius/2 bits (rounded
-    up); members at one point are joined to the least of them, if within the radius.
+            rows = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            if stream:  # the rest of a bucket that is passing
+                n = int(np.searchsorted(rows[0], stream_key, side="right"))
+                yield from stream.feed([c[:n] for c in rows])
+                rows, stream = [c[n:] for c in rows], stream if n == len(rows[0]) else None
+            last = 0 if not len(rows[0]) else len(rows[0]) if batch is None else int(np.searchsorted(rows[0], rows[0][-1], side="left"))
+            if last:
+                yield from settled([c[:last] for c in rows])
+            rows = [c[last:] for c in rows]
+            if len(rows[0]) > rule.bucket_rows:
+                stream, stream_key = Stream(), int(rows[0][0])
+                yield from stream.feed(rows)
+                rows = [c[:0] for c in rows]
+            parts, count = [rows], len(rows[0])
+
+    return rows.mapInArrow(run, "x long, y long")
+
+
+def _and_last(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
+
+
+def point_links(members: DataFrame, prints: int, rule: Rule) -> DataFrame:
+    """x, y as in ``bucket_links`` for all members (label, fps), of any number, without comparing pairs.
+
+    Each fingerprint goes to all points that differ from it in at most radius/2
+    bits; at a point that several labels reach, the largest links to the least.
     """
-    if radius % 2:
+    if rule.radius % 2:
         raise ValueError("an even radius is needed: two members of one point are then within it")
-    flips = [signed(sum(1 << p for p in some)) for n in range(radius // 2 + 1) for some in combinations(range(BITS), n)]
-    points = members.select("fp", F.explode(F.array(*map(F.lit, flips))).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
-    least = points.groupBy("point").agg(F.min("fp").alias("b"))
-    return points.join(least, "point").filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of ``edges`` (a, b); root is the least node that it reaches."""
-
-    def least(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("m"))
-
-    def state(pairs: DataFrame) -> tuple:
-        return tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-
-    stars = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    before, now = None, state(stars)
-    while before != now:
-        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        joined = large.join(least(large), "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        last, stars = stars, cut(small.filter("u <> v").distinct())
-        before, now = now, state(stars)
-        release(last)
-    roots = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-
-
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    flips = [signed(sum(1 << p for p in some)) for n in range(rule.radius // 2 + 1) for some in combinations(range(BITS), n)]
+    each = members.select("label", F.posexplode(F.slice("fps", 1, prints)).alias("print", "fp"))
+    distinct = each.groupBy("print", "fp").agg(F.min("label").alias("y"), F.max("label").alias("x"))
+    points = distinct.select("x", "y", "print", "fp", F.explode(F.array(*map(F.lit, flips))).alias("flip"))
+    ends = points.groupBy("print", F.col("fp").bitwiseXOR(F.col("flip")).alias("point")).agg(F.max("x").alias("x"), F.min("y").alias("y")).filter("y < x")
+    return ends.groupBy("x").agg(F.min("y").alias("y"))
+
+
+def followed(links: DataFrame) -> DataFrame:
+    """links (x, its one lesser y) with each y followed to where it ends; doubling, so a few steps."""
+    now, more = links, True
+    while more:
+        ahead = now.select(F.col("x").alias("y"), F.col("y").alias("next"))
+        last, now = now, cut(now.join(ahead, "y", "left").select("x", F.coalesce("next", "y").alias("y"), F.col("next").isNotNull().alias("moved")))
+        more = not now.filter("moved").isEmpty()
+        if last is not links:
+            release(last)
+    return now.select("x", "y")
+
+
+def roots(members: DataFrame, prints: int, rule: Rule) -> DataFrame:
+    """node, root: the least node that each of ``members`` (node, fps) reaches by links, where that isn't itself."""
+    active, root, number = members.select(F.col("node").alias("label"), F.lit(1).alias("size"), "fps"), None, 0
+    while True:
+        number += 1
+        found = cut(bucket_links(placed(active, prints, rule), rule).groupBy("x").agg(F.min("y").alias("y"), F.max(F.col("y").isNull()).alias("left")))
+        met, left = found.select("x", "y"), found.filter("left").select(F.col("x").alias("label"))
+        more = not left.isEmpty()
+        if more and number > 1:  # most of what was left in the first round has become one group since
+            met = cut(met.unionByName(point_links(active.join(left, "label", "left_semi"), prints, rule)).groupBy("x").agg(F.min("y").alias("y")))
+        links = met.filter("y < x")
+        linked = not links.isEmpty()
+        if not linked and (number > 1 or not more):
+            break
+        ends = followed(links) if linked else links
+        if linked and root is not None:
+            root = cut(root.join(ends.select(F.col("x").alias("y"), F.col("y").alias("next")), "y", "left").select("x", F.coalesce("next", "y").alias("y")).unionByName(ends))
+        elif linked:
+            root = ends
+        # all that met another, or may have, go on; at a point the least does so as what the largest links to
+        labels = met.select("x").unionByName(links.select(F.col("y").alias("x"))).distinct()
+        names = cut(labels.join(ends, "x", "left").select(F.col("x").alias("label"), F.coalesce("y", "x").alias("name")))
+        sized = names.join(active.select("label", "size").distinct(), "label").groupBy("name").agg(F.sum("size").alias("size"))
+        last, active = active, cut(active.drop("size").join(names.join(sized, "name"), "label").select(F.col("name").alias("label"), "size", "fps"))
+        for kept in (found, names, *([last] if number > 1 else [])):
+            release(kept)
+    return root.select(F.col("x").alias("node"), F.col("y").alias("root")) if root is not None else members.select("node", F.col("node").alias("root")).limit(0)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     """doc_id, fp and component_id (the smallest doc_id that its fingerprint reaches) for each row."""
     marks = cut(fingerprints(docs, shingle)).select("doc_id", F.get("fps", F.lit(0)).alias("fp"))
     distinct = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    edges = all_edges(distinct.select(F.lit(0).alias("print"), "fp"), radius, bucket_rows)
-    placed = distinct.join(components(edges), F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    linked = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return marks.join(placed.join(linked, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
-
-
-def all_edges(distinct: DataFrame, radius: int, bucket_rows: int) -> DataFrame:
-    """(a, b) that connect all links within ``radius`` among distinct (print, fp)."""
-    found = cut(bucket_edges(distinct, radius, bucket_rows).distinct())
-    edges = found.filter("b is not null")
-    spread = found.filter("b is null").select(F.col("a").alias("fp")).distinct()
-    return edges if spread.isEmpty() else edges.unionByName(ball_edges(spread, radius))
+    found = roots(distinct.select(F.col("fp").alias("node"), F.array("fp").alias("fps")), 1, rule)
+    grouped = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    linked = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return marks.join(grouped.join(linked, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, prints: int = 8, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = STAGE_SHINGLE, prints: int = STAGE_PRINTS, rule: Rule = STAGE) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group its first row by doc_id (nulls last) stays.
 
     One fingerprint of 64 bits strays by more than ``radius`` for many copies
-    with a few words changed. Texts are linked here if any of ``prints``
-    independent ones is within it; the first of these is ``near_duplicates``'s, so
-    what that links is linked here. Of different texts with the first id the one
-    with the least hash stays, of rows that repeat both, any one.
+    with a few words changed, so texts have several independent ones here, and
+    those that meet in a bucket link by a wider distance over two of them. Of different
+    texts with the first id the one with the least hash stays, of rows that repeat both, any one.
     """
-    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash1", "hash2")
     marks = cut(fingerprints(docs, shingle, prints))
-    texts = cut(marks.groupBy("text_hash").agg(F.min(row).alias("first"), F.first("fps").alias("fps")))
-    held = texts.select("text_hash", F.posexplode("fps").alias("print", "fp"))
-    distinct = cut(held.groupBy("print", "fp").agg(F.count("*").alias("n")))
-    edges = cut(all_edges(distinct.select("print", "fp"), radius, bucket_rows))
-    # only fingerprints that link something join the texts' graph
-    linking = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).unionByName(distinct.filter("n > 1").select("fp")).distinct()
-    graph = edges.unionByName(held.join(linking, "fp").select(F.col("text_hash").alias("a"), F.col("fp").alias("b")))
-    placed = texts.join(components(graph), F.col("text_hash") == F.col("node"), "left").select("first", F.coalesce("root", "text_hash").alias("root"))
-    first = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
-    left = rows.join(first, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash")), "left_semi")
-    copies = Window.partitionBy("id", "hash").orderBy(F.lit(0))
-    return left.withColumn("copy", F.row_number().over(copies)).filter("copy = 1").select("row.*")
+    # 128 bits tell texts apart; nodes are numbered as they are written, so that a number is one text's
+    texts = cut(marks.groupBy("hash1", "hash2").agg(F.min(row).alias("first"), F.first("fps").alias("fps")).select(F.monotonically_increasing_id().alias("node"), "first", "fps"))
+    found = roots(texts.select("node", "fps"), prints, rule)
+    grouped = texts.select("node", "first").join(found, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
+    first = grouped.groupBy("root").agg(F.min("first").alias("first")).select(*(F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc_id", "hash1", "hash2")))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), *text_hashes())
+    same = F.col("id").eqNullSafe(F.col("first_doc_id")) & (F.col("hash1") == F.col("first_hash1")) & (F.col("hash2") == F.col("first_hash2"))
+    copies = Window.partitionBy("id", "hash1", "hash2").orderBy(F.lit(0))
+    return rows.join(first, same, "left_semi").withColumn("copy", F.row_number().over(copies)).filter("copy = 1").select("row.*")

@@ -218,62 +218,106 @@ def test_covering_masks_leave_out_any_four_positions_together():
         assert any(not m & flipped for m in masks)
 
 
-@pytest.mark.parametrize("bucket_rows", [4096, 2])
+def plain_roots(items, linked):
+    """Of each key of ``items`` the least key that it reaches."""
+    root = {i: i for i in items}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(items, 2):
+        if linked(items[a], items[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {i: find(i) for i in items}
+
+
+def close(a, b):
+    return (a ^ b).bit_count() <= 4
+
+
+@pytest.mark.parametrize("bucket_rows", [4096, 40, 2])
 def test_components_equal_brute_force(spark, bucket_rows):
     r = random.Random(2)
     words = [f"w{i}" for i in range(400)]
     docs = []
     for group in range(40):
         base = [r.choice(words) for _ in range(120)]
-        for _ in range(r.randrange(1, 9)):
+        for _ in range(60 if group == 7 else r.randrange(1, 9)):
             new = list(base)
             for _ in range(r.randrange(3)):
                 new[r.randrange(len(new))] = r.choice(words)
             docs.append((len(docs), " ".join(new)))
-    found = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), bucket_rows=bucket_rows).collect()
-    prints = {i: plain_fingerprint(t) for i, t in docs}
-    root = {i: i for i in prints}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in itertools.combinations(prints, 2):
-        if (prints[a] ^ prints[b]).bit_count() <= 4:
-            x, y = sorted((find(a), find(b)))
-            root[y] = x
-    assert {r.doc_id: r.component_id for r in found} == {i: find(i) for i in prints}
-    assert len({find(i) for i in prints}) < len(docs)
+    found = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), rule=simhash.Rule(bucket_rows=bucket_rows)).collect()
+    wanted = plain_roots({i: plain_fingerprint(t) for i, t in docs}, close)
+    assert {r.doc_id: r.component_id for r in found} == wanted and len(set(wanted.values())) < len(docs)
 
 
-def test_ball_edges_connect_what_lies_within_the_radius(spark):
-    r = random.Random(3)
-    points = {r.getrandbits(64) for _ in range(3)}
-    for _ in range(25):
+def scattered(r, groups, most):
+    """64-bit points: chains and clusters around ``groups`` centres."""
+    points = {r.getrandbits(64) for _ in range(groups)}
+    while len(points) < most:
         p = r.choice(sorted(points))
-        for _ in range(r.randrange(1, 5)):
+        for _ in range(r.randrange(1, 6)):
             p ^= 1 << r.randrange(64)
         points.add(p)
-    edges = simhash.ball_edges(spark.createDataFrame([(simhash.signed(p),) for p in points], "fp long")).collect()
-    assert all(((e.a ^ e.b) & (1 << 64) - 1).bit_count() <= 4 for e in edges)
-    near = {p: {q for q in points if (p ^ q).bit_count() <= 4} for p in points}
-    linked = {p: {p} for p in points}
-    for e in edges:
-        a, b = e.a % (1 << 64), e.b % (1 << 64)
-        linked[a].add(b)
-        linked[b].add(a)
-
-    def reach(links, p):
-        seen, todo = set(), [p]
-        while todo:
-            x = todo.pop()
-            if x not in seen:
-                seen.add(x)
-                todo += links[x]
-        return seen
-
-    assert all(reach(near, p) == reach(linked, p) for p in points)
+    return sorted(points)
+
+
+@pytest.mark.parametrize(("seed", "bucket_rows"), [(1, 4096), (2, 2), (3, 16)])
+def test_roots_equal_brute_force_on_chains_and_clusters(spark, seed, bucket_rows):
+    points = scattered(random.Random(seed), 3 + 20 * (seed == 1), 300)
+    members = spark.createDataFrame([(i, [simhash.signed(p)]) for i, p in enumerate(points)], "node long, fps array<long>")
+    got = {r.node: r.root for r in simhash.roots(members, 1, simhash.Rule(bucket_rows=bucket_rows)).collect()}
+    wanted = plain_roots(dict(enumerate(points)), close)
+    assert {i: got.get(i, i) for i in wanted} == wanted
+
+
+def test_point_links_connect_what_lies_within_the_radius(spark):
+    points = dict(enumerate(scattered(random.Random(3), 3, 60)))
+    wanted, label = plain_roots(points, close), {i: i for i in points}
+    for _ in range(20):  # rounds, as ``roots`` has them
+        members = spark.createDataFrame([(label[i], [simhash.signed(p)]) for i, p in points.items()], "label long, fps array<long>")
+        links = {e.x: e.y for e in simhash.point_links(members, 1, simhash.Rule()).collect()}
+        if not links:
+            break
+        for i in label:
+            while label[i] in links:
+                label[i] = links[label[i]]
+    assert label == wanted
+
+
+def dense(n, seed=5):
+    """``n`` different points within two bits of one centre and its like."""
+    r, points = random.Random(seed), set()
+    centre = r.getrandbits(64)
+    while len(points) < n:
+        points.add(centre ^ sum(1 << p for p in r.sample(range(64), r.choice([1, 2, 2, 3]))))
+    return sorted(points)
+
+
+def test_links_stay_in_proportion_to_a_dense_group(spark):
+    rates = []
+    for n in (250, 1000, 4000):
+        members = spark.createDataFrame([(i, 1, [simhash.signed(p)]) for i, p in enumerate(dense(n))], "label long, size int, fps array<long>")
+        rule = simhash.Rule()
+        links = simhash.bucket_links(simhash.placed(members, 1, rule), rule)
+        rates.append((links.count() / n, links.filter("y is not null").groupBy("x").agg(F.min("y")).count() / n, simhash.point_links(members.select("label", "fps"), 1, rule).count() / n))
+    # a task gives a row at most for each label of a chunk of its rows, all tasks together one link a label
+    assert all(a <= 4 and b <= 1 and c <= 1 for a, b, c in rates)
+
+
+def test_wide_links_are_of_two_prints_together(spark):
+    r = random.Random(8)
+    flip = lambda x, n: x ^ sum(1 << p for p in r.sample(range(64), n))
+    a, b = r.getrandbits(64), r.getrandbits(64)
+    rows = {0: (a, b), 1: (a ^ 0b11111 << 59, flip(b, 10)), 2: (a ^ 0b11111 << 59, flip(b, 50)), 3: (r.getrandbits(64), r.getrandbits(64))}
+    members = spark.createDataFrame([(i, list(map(simhash.signed, v))) for i, v in rows.items()], "node long, fps array<long>")
+    assert {x.node: x.root for x in simhash.roots(members, 2, simhash.Rule(bits=48, wide=24)).collect()} == {1: 0, 2: 0}
+    narrow = {x.node: x.root for x in simhash.roots(members, 2, simhash.Rule(bits=48)).collect()}
+    assert narrow == {2: 1}
 
 
 # ---- 6 urls

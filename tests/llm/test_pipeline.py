@@ -1,12 +1,14 @@
 """The pipeline's stages, each against a plain model on its own input."""
 
 import collections
+import random
 
 import pytest
 
 import corpus_pipeline
 from commitlens.llm import packing, pii, simhash, toxicity
 from commitlens.llm.common import cut
+from tests.llm.test_operators import plain_roots
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,23 +39,34 @@ def test_toxic_documents_go_and_others_stay(spark, stages):
     assert rows(after) == collections.Counter(t for t in map(tuple, before.collect()) if model.score(t[1] or "")[0] < 0.5)
 
 
+def meets(x, y, rule=simhash.STAGE):
+    """Whether two texts' prints link: in a bucket of a table, by one print or by it and the next."""
+    apart = [(p ^ q) for p, q in zip(x, y, strict=True)]
+    near = [d.bit_count() for d in apart]
+    masks = simhash.covering_masks(rule.radius, rule.bits)
+    return any(any(not d & m for m in masks) and (n <= rule.radius or n + near[(i + 1) % len(near)] <= rule.wide) for i, (d, n) in enumerate(zip(apart, near, strict=True)))
+
+
 def test_one_document_of_each_group_stays(stages):
     before, after = stages["near_duplicates"]
-    docs = sorted((r.doc_id, r.text) for r in before.collect())
-    prints = {i: simhash.fingerprints_of(t, 4, 8) for i, t in docs}
-    root = {i: i for i, _ in docs}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for n, (a, _) in enumerate(docs):
-        for b, _ in docs[n + 1 :]:
-            if any((x ^ y).bit_count() <= 4 for x, y in zip(prints[a], prints[b], strict=True)):
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    assert sorted(r.doc_id for r in after.collect()) == sorted({find(i) for i, _ in docs})
+    prints = {r.doc_id: simhash.fingerprints_of(r.text, simhash.STAGE_SHINGLE, simhash.STAGE_PRINTS) for r in before.collect()}
+    wanted = plain_roots(prints, meets)
+    assert sorted(r.doc_id for r in after.collect()) == sorted(set(wanted.values())) and len(set(wanted.values())) < len(wanted)
+
+
+def test_copies_with_an_overlap_of_four_fifths_are_found(spark):
+    r, docs, words = random.Random(4), {}, [f"w{i}" for i in range(5000)]
+    overlap = lambda a, b: len(a & b) / len(a | b)
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    while len(docs) < 400:
+        base = [r.choice(words) for _ in range(300)]
+        new = list(base)
+        for _ in range(r.randrange(2, 7)):
+            new[r.randrange(300)] = r.choice(words)
+        if overlap(shingles(base), shingles(new)) >= 0.8:
+            docs |= {len(docs): " ".join(base), len(docs) + 1: " ".join(new)}
+    left = {x.doc_id for x in simhash.one_of_each(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert left >= set(range(0, 400, 2)) and len(left) <= 200 + 0.1 * 200
 
 
 def test_personal_data_gives_way(stages):
