@@ -445,7 +445,20 @@ def test_odd_vectors(spark):
 # ---- 9 toxicity
 
 
-def test_noisy_or_locates_the_sentence():
+def plain_score(model, text):
+    """Each sentence's words against the weights one by one, then their noisy-or."""
+    probabilities, seen = [], set()
+    for sentence in re.split(r"[.!?\n]", text):
+        words = {w for w in re.findall(r"[^\W\d_]+", sentence.lower())}
+        told = frozenset(m for m in model.weights if any(w == m or (m[-1] == "*" and len(w) >= len(m) and w.startswith(m[:-1])) for w in words))
+        if told and told not in seen:
+            seen.add(told)
+            probabilities.append(1 / (1 + math.exp(-max(-30, min(30, model.bias + sum(model.weights[m] for m in told))))))
+    return 1 - math.prod(1 - p for p in probabilities) if max(probabilities, default=0) >= 0.5 else max(probabilities, default=0.0)
+
+
+@pytest.fixture(scope="module")
+def learned(spark):
     r = random.Random(6)
     plain = lambda: " ".join(r.choice("sun moon tree lake bird stone rain wind leaf path".split()) for _ in range(8))
     rows = []
@@ -454,33 +467,56 @@ def test_noisy_or_locates_the_sentence():
         if i % 2:
             body[r.randrange(6)] += " " + r.choice(["grobian", "grobianisch", "lump"])
         rows.append((". ".join(body), i % 2))
-    model = toxicity.fit(rows[:300])
-    assert all((model.score(t)[0] >= 0.5) == bool(y) for t, y in rows[300:])
+    return toxicity.fit(spark.createDataFrame(rows[:300], "text string, toxic int")), rows[300:]
+
+
+def test_noisy_or_locates_the_sentence(learned):
+    model, held = learned
+    assert all((model.score(t)[0] >= 0.5) == bool(y) for t, y in held)
     text = "Sun and moon. What a grobianhaft path! Rain."
     score, where = model.score(text)
     assert score >= 0.5 and [text[slice(*map(int, w.split(":")))] for w in where.split(",")] == [" What a grobianhaft path"]
-    kept = 1.0
-    for _, _, p in model.sentences(text):
-        kept *= 1 - p
-    assert score == pytest.approx(1 - kept)
+    assert all(model.score(t)[0] == pytest.approx(plain_score(model, t), abs=1e-9) for t, _ in held)
+
+
+def test_length_alone_is_no_sign_and_no_cover(learned):
+    model, held = learned
+    clean = [t for t, y in held if not y]
+    long = ". ".join(clean * 70)
+    assert long.count(".") > 20_000 and model.score(long)[0] < 0.5 and model.score(long)[1] == ""
+    score, where = model.score(long + ". Such a lump of path. " + long)
+    assert score >= 0.5 and where == f"{len(long) + 1}:{len(long) + 21}"
+
+
+def test_scores_on_the_table_equal_the_plain_model(spark, learned, small):
+    rows = [(r.doc_id, r.text) for r in small.collect()] + [(-1, None), (-2, ""), (-3, "Lump! " * 3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(frame, learned[0]).collect()}
+    assert got == pytest.approx({i: plain_score(learned[0], t or "") for i, t in rows}, abs=1e-9)
 
 
 def test_held_out_accuracy_and_no_leak(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.sample(docs, labels)
     model = toxicity.fit(rows)
-    assert model == toxicity.fit(toxicity.sample(docs.repartition(5), labels))
+    assert rows.count() <= sum(toxicity.SAMPLE) and model == toxicity.fit(toxicity.sample(docs.repartition(5), labels))
     held = labels.filter(toxicity.fold_of("doc_id") == 0)
     other = labels.withColumn("toxic", F.when(toxicity.fold_of("doc_id") == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
-    assert sorted(toxicity.sample(docs, other)) == sorted(rows)  # held-out labels don't matter
-    scores = toxicity.score(docs.join(held, "doc_id", "left_semi"), model).join(held, "doc_id")
-    assert scores.filter((F.col("score") >= 0.5).cast("int") == F.col("toxic")).count() >= 0.96 * scores.count()
-
-
-def test_no_labels(spark, odd):
-    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.sample(docs, other).exceptAll(rows).isEmpty()  # held-out labels don't matter
+    scores = toxicity.score(docs, model).join(docs.select("doc_id", F.length("text").alias("n")), "doc_id").join(labels, "doc_id")
+    wrong = (F.col("score") >= 0.5).cast("int") != F.col("toxic")
+    tested = scores.filter(toxicity.fold_of("doc_id") == 0)
+    assert tested.filter(wrong).count() <= 0.04 * tested.count()
+    clean = scores.filter("toxic = 0")
+    assert clean.filter(wrong & (F.col("n") <= 12_000)).count() <= 0.01 * clean.count()
+    assert clean.filter(wrong & (F.col("n") > 12_000)).count() <= 0.05 * clean.filter("n > 12000").count()
+
+
+@pytest.mark.parametrize("marks", [[], [(1, 0, 1), (9, 0, 1)], [(1, 0, 0)]])
+def test_without_labels_of_both_classes_nothing_is_toxic(spark, odd, marks):
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
     model = toxicity.fit(toxicity.sample(odd, labels))
-    assert {r.score for r in toxicity.score(odd, model).collect()} == {0.0}
+    assert {r.score for r in toxicity.score(odd, model).collect()} == {0.0} and toxicity.keep_clean(odd, model).count() == odd.count()
 
 
 # ---- 10 licences
