@@ -1,26 +1,24 @@
 """Licence scan with a positional index of rare words.
 
 Licence notices are kept as templates. Their words are indexed: for each, the
-templates and places where it stands. Of those that few documents of the corpus hold, a
-file looks up the highest-IDF licence words that it has; each occurrence votes for
-a template at a relative position (its place less the template's), and votes that
-agree on one position are the intersection of the postings there. Where enough
-agree, the template's mandatory key phrases must stand at exactly those
-places. The rarest words of a file may all be of one notice, or of its prose, so each
-template is looked up by words of its own too: its key words and its rarest, however common
-they are. All of it runs on a row's own arrays, with DataFrame functions only; the
-one shuffle is the count of documents per licence word (a row per word and task).
+templates and places where it stands. A file that holds all words of a template's
+mandatory key phrases looks up these words by IDF over all documents, the rarest first: its
+places in the file, less its place in the template, are the positions where the notice may begin,
+and the postings of the other key words are intersected with them by relative position. Where the
+phrases stand at exactly those places and at least half of the template's words agree, the
+label is given. IDF only orders the work: however common a word is, or however many notices
+a file holds, nothing is left out. All of it runs on a row's own arrays, with DataFrame
+functions only; the one shuffle is the count of documents per licence word (a row per word and task).
 
 Edge cases: a null text is empty; a file without words has no places and no
-labels, score 0; in a table in which all licence words are common, templates are
-found by their own words only; rows that repeat are scanned each; an empty
-table gives no rows. Columns other than ``doc_id`` and ``text`` are ignored.
+labels, score 0; a notice cut off at either end counts by the words that are there; of equally
+rare words the first by spelling is looked up; rows that repeat are scanned each; very long texts are whole
+arrays of words; an empty table gives no rows. Columns other than ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -44,12 +42,8 @@ TEMPLATES = (
     ("all-rights-reserved", "copyright all rights reserved", ("all rights reserved",)),
 )
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Words in more than this share of the documents aren't among a file's rarest; so many of the rarest that a file or a template has are looked up.
-COMMON, LOOKED_UP = 0.2, 8
-#: Of a template's looked-up places, the share that must agree on a position.
+#: Of a template's places, the share that must agree on a position.
 AGREE = 0.5
-#: Codes of votes: a template's number, then the position plus a base that keeps it positive.
-STEP, BASE = 1 << 40, 1 << 20
 
 
 def words_of(text: str | Column) -> Column:
@@ -69,73 +63,49 @@ def phrase_places(words: Column, phrase: str) -> Column:
     return F.when(has & (F.size(words) >= len(parts)), places).otherwise(F.array().cast("array<int>"))
 
 
-def licence_idf(words: DataFrame) -> tuple[dict[str, float], set[str]]:
-    """IDF over all documents of the licence words, and those that few documents hold. At most a row per licence word comes to the driver."""
+def licence_idf(words: DataFrame) -> dict[str, float]:
+    """IDF over all documents of the licence words. At most a row per licence word comes to the driver."""
     vocabulary = sorted({w for _, text, _ in TEMPLATES for w in text.split()})
     # "" stands for the document itself
     held = words.select(F.explode(F.array_append(F.array_intersect("words", F.array(*map(F.lit, vocabulary))), "")).alias("word"))
     counts = {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count("*").alias("n")).collect()}
     total = counts.pop("", 0)
-    idf = {w: math.log((total + 1) / (counts.get(w, 0) + 1)) for w in vocabulary}
-    return idf, {w for w in vocabulary if counts.get(w, 0) <= COMMON * total}
-
-
-def verified(found: DataFrame, name: str) -> DataFrame:
-    """``found`` with ``name``: code, label and share of agreement where a template is verified by the looked-up ``postings``."""
-    at = F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    at = F.filter(at, lambda x: F.exists("postings", lambda p: p["w"] == x["w"]))
-    found = found.withColumn("at", F.when(F.size("postings") > 0, at).otherwise(F.array().cast("array<struct<w:string,i:int>>")))
-    # each place votes: template * STEP + position
-    votes = F.transform("at", lambda x: F.transform(F.filter("postings", lambda p: p["w"] == x["w"]), lambda p: p["code"] + x["i"]))
-    found = found.withColumn("votes", F.array_sort(F.flatten(votes)))
-    starts = F.filter(F.sequence(F.lit(0), F.size("votes") - 1), lambda i: (i == 0) | (F.get("votes", i) != F.get("votes", i - 1)))
-    found = found.withColumn("starts", F.when(F.size("votes") > 0, starts).otherwise(F.array().cast("array<int>")))
-    runs = F.transform("starts", lambda s, j: F.struct(F.get("votes", s).alias("code"), (F.coalesce(F.get("starts", j + 1), F.size("votes")) - s).alias("n")))
-    found = found.withColumn("runs", runs)
-
-    def hit(r: Column) -> Column:
-        """Null where it fails."""
-        number, start = F.shiftright(r["code"], 40).cast("int"), (r["code"] % STEP - BASE).cast("int")
-        out, share = F.lit(None).cast("string"), r["n"] / F.size(F.filter("postings", lambda p: p["t"] == number))
-        for t, (label, text, keys) in enumerate(TEMPLATES):
-            parts = text.split()
-            keyed = F.lit(True)
-            for key in keys:
-                phrase = key.split()
-                offset = next(i for i in range(len(parts)) if parts[i : i + len(phrase)] == phrase)
-                keyed = keyed & (start + offset >= 0) & stands(F.col("words"), start + offset, phrase)
-            out = F.when((number == t) & F.coalesce(keyed, F.lit(False)), F.lit(label)).otherwise(out)
-        return F.when(out.isNotNull() & (share >= AGREE), F.struct(r["code"].alias("code"), out.alias("label"), share.cast("double").alias("share")))
-
-    return found.withColumn(name, F.filter(F.transform("runs", hit), lambda h: h.isNotNull()))
+    return {w: math.log((total + 1) / (counts.get(w, 0) + 1)) for w in vocabulary}
+
+
+def key_places(parts: list[str], keys: tuple[str, ...]) -> list[tuple[int, str]]:
+    """Place and word of the key phrases' words in a template's."""
+    found = set()
+    for phrase in map(str.split, keys):
+        first = next(i for i in range(len(parts)) if parts[i : i + len(phrase)] == phrase)
+        found |= {(first + i, w) for i, w in enumerate(phrase)}
+    return sorted(found)
+
+
+def verified(words: Column, template: tuple[str, str, tuple[str, ...]], idf: dict[str, float]) -> Column:
+    """label and share for each position at which a template's key phrases stand and enough of its words agree."""
+    label, text, keys = template
+    parts = text.split()
+    by_rarity = sorted(key_places(parts, keys), key=lambda x: (-idf[x[1]], x[1], x[0]))
+    (offset, rarest), *others = by_rarity
+    holds = reduce(lambda a, b: a & b, (F.array_contains(words, w) for w in dict.fromkeys(w for _, w in by_rarity)))
+    places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i) == rarest)
+    fits = reduce(lambda a, b: lambda i: a(i) & b(i), ((lambda i, o=o, w=w: F.get(words, i + (o - offset)) == w) for o, w in others), lambda i: F.lit(True))
+    agree = lambda i: sum((F.get(words, i + (j - offset)).eqNullSafe(F.lit(w)).cast("int") for j, w in enumerate(parts)), F.lit(0))
+    hits = F.transform(F.filter(places, fits), lambda i: F.struct(F.lit(label).alias("label"), (agree(i) / F.lit(len(parts))).cast("double").alias("share")))
+    return F.when(holds, F.filter(hits, lambda h: h["share"] >= AGREE)).otherwise(F.array().cast("array<struct<label:string,share:double>>"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, base places and labels, and the labels and score (best share of agreeing places) of verified templates."""
     words = docs.select("doc_id", words_of("text").alias("words"))
-    idf, few = licence_idf(words)
-    ranked = sorted(idf, key=lambda w: (-idf[w], w))
-    needed = [(t, sorted({w for key in keys for w in key.split()})) for t, (_, _, keys) in enumerate(TEMPLATES)]
-    # each template's own words: its key words and the rarest of its others
-    own = {t: {*keys, *[w for w in ranked if w in TEMPLATES[t][1].split()][:LOOKED_UP]} for t, keys in needed}
+    idf = licence_idf(words)
     found = words.select(
         "doc_id",
         F.size("words").alias("n_words"),
         *[phrase_places(F.col("words"), p).alias(f"p{i}") for i, (p, _) in enumerate(PHRASES)],
-        "words",
-        # a template whose key words aren't all there can't be verified
-        F.array_compact(F.array(*(F.when(reduce(lambda a, b: a & b, (F.array_contains("words", w) for w in keys)), F.lit(t)) for t, keys in needed))).alias("open"),
+        F.concat(*(verified(F.col("words"), t, idf) for t in TEMPLATES)).alias("hits"),
     )
-    # the file's rarest licence words
-    rare = F.slice(F.filter(_strings([w for w in ranked if w in few]), lambda w: F.array_contains("words", w)), 1, LOOKED_UP)
-    found = found.withColumn("rare", F.when(F.size("open") > 0, rare).otherwise(_strings([])))
-    by_file = F.filter(_postings(lambda t, w: w in few), lambda p: F.array_contains("open", p["t"]) & F.array_contains("rare", p["w"]))
-    by_own = F.filter(_postings(lambda t, w: w in own[t]), lambda p: F.array_contains("open", p["t"]) & F.array_contains("words", p["w"]))
-    for name, postings in (("by_file", by_file), ("by_own", by_own)):
-        found = found.withColumn("postings", F.when(F.size("open") > 0, postings).otherwise(_postings(lambda t, w: False)))
-        found = verified(found, name)
-    more = F.filter("by_own", lambda h: ~F.exists("by_file", lambda g: g["code"] == h["code"]))
-    found = found.withColumn("hits", F.concat("by_file", more))
     places = F.array_union(F.array_union("p0", "p1"), "p2")
     base = F.array_compact(F.array(*(F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(PHRASES))))
     n_base = sum((F.size(f"p{i}") for i in range(len(PHRASES))), F.lit(0))
@@ -151,28 +121,12 @@ def scan(docs: DataFrame) -> DataFrame:
     )
 
 
-def _postings(held: Callable[[int, str], bool]) -> Column:
-    """Template, word and code (template * STEP less the place) of the templates' places that ``held`` names."""
-    rows = [(t, w, t * STEP + BASE - i) for t, (_, text, _) in enumerate(TEMPLATES) for i, w in enumerate(text.split()) if held(t, w)]
-    structs = [F.struct(F.lit(t).alias("t"), F.lit(w).alias("w"), F.lit(c).cast("long").alias("code")) for t, w, c in rows]
-    return F.array(*structs).cast("array<struct<t:int,w:string,code:bigint>>")
-
-
-def _strings(words: list[str]) -> Column:
-    return F.array(*map(F.lit, words)).cast("array<string>")
-
-
 def sql() -> str:
     """The query over ``documents`` in DuckDB's SQL, by joins on words and places."""
     rows = lambda items: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in items)
     template = [(t, i, w) for t, (_, text, _) in enumerate(TEMPLATES) for i, w in enumerate(text.split())]
     labels = [(t, label) for t, (label, _, _) in enumerate(TEMPLATES)]
-    keys = set()
-    for t, (_, text, phrases) in enumerate(TEMPLATES):
-        parts = text.split()
-        for phrase in map(str.split, phrases):
-            offset = next(i for i in range(len(parts)) if parts[i : i + len(phrase)] == phrase)
-            keys |= {(t, offset + i, w) for i, w in enumerate(phrase)}
+    keys = [(t, i, w) for t, (_, text, phrases) in enumerate(TEMPLATES) for i, w in key_places(text.split(), phrases)]
     base = []
     for phrase, label in PHRASES:
         first, *rest = phrase.split()
@@ -186,24 +140,15 @@ def sql() -> str:
     place AS (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i FROM files),
     template(t, pos, word) AS (VALUES {rows(template)}),
     named(t, label) AS (VALUES {rows(labels)}),
-    keyed(t, pos, word) AS (VALUES {rows(sorted(keys))}),
-    held AS (SELECT word, count(DISTINCT rid) AS n FROM place WHERE word IN (SELECT word FROM template) GROUP BY word),
-    indexed AS (
-      SELECT v.word, coalesce(n, 0) AS n FROM (SELECT DISTINCT word FROM template) v LEFT JOIN held USING (word)
-      WHERE coalesce(n, 0) <= {COMMON} * (SELECT count(*) FROM files)),
-    rare AS (
-      SELECT rid, word FROM (SELECT DISTINCT rid, word, n FROM place JOIN indexed USING (word))
-      QUALIFY row_number() OVER (PARTITION BY rid ORDER BY n, word) <= {LOOKED_UP}),
-    votes AS (
-      SELECT p.rid, t, p.i - pos AS start, count(*) AS n FROM place p JOIN rare r ON p.rid = r.rid AND p.word = r.word JOIN template x ON x.word = p.word GROUP BY ALL),
-    need AS (SELECT rid, t, count(*) AS need FROM rare JOIN template USING (word) GROUP BY ALL),
+    keyed(t, pos, word) AS (VALUES {rows(keys)}),
     stand AS (
-      SELECT v.rid, v.t, v.start, count(*) AS stands FROM votes v JOIN keyed k ON k.t = v.t JOIN place p ON p.rid = v.rid AND p.i = v.start + k.pos AND p.word = k.word GROUP BY ALL),
+      SELECT p.rid, k.t, p.i - k.pos AS start FROM place p JOIN keyed k ON k.word = p.word GROUP BY ALL
+      HAVING count(*) = (SELECT count(*) FROM keyed n WHERE n.t = k.t)),
+    agreed AS (
+      SELECT s.rid, s.t, s.start, count(*) AS n FROM stand s JOIN template x ON x.t = s.t JOIN place p ON p.rid = s.rid AND p.i = s.start + x.pos AND p.word = x.word GROUP BY ALL),
     hits AS (
-      SELECT v.rid, label, CAST(v.n AS DOUBLE) / need AS share
-      FROM votes v JOIN need q ON q.rid = v.rid AND q.t = v.t JOIN stand s ON s.rid = v.rid AND s.t = v.t AND s.start = v.start
-      JOIN (SELECT t, count(*) AS keys FROM keyed GROUP BY t) k ON k.t = v.t JOIN named m ON m.t = v.t
-      WHERE stands = keys AND CAST(v.n AS DOUBLE) / need >= {AGREE}),
+      SELECT rid, label, CAST(n AS DOUBLE) / places AS share FROM agreed JOIN (SELECT t, count(*) AS places FROM template GROUP BY t) USING (t) JOIN named USING (t)
+      WHERE CAST(n AS DOUBLE) / places >= {AGREE}),
     base AS ({' UNION ALL '.join(base)}),
     by_base AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY rid),
     by_label AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM hits UNION SELECT rid, label FROM base) GROUP BY rid)
