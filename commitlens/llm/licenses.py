@@ -141,9 +141,8 @@ def sql() -> str:
     template(t, pos, word) AS (VALUES {rows(template)}),
     named(t, label) AS (VALUES {rows(labels)}),
     keyed(t, pos, word) AS (VALUES {rows(keys)}),
-    stand AS (
-      SELECT p.rid, k.t, p.i - k.pos AS start FROM place p JOIN keyed k ON k.word = p.word GROUP BY ALL
-      HAVING count(*) = (SELECT count(*) FROM keyed n WHERE n.t = k.t)),
+    standing AS (SELECT p.rid, k.t, p.i - k.pos AS start, count(*) AS n FROM place p JOIN keyed k ON k.word = p.word GROUP BY ALL),
+    stand AS (SELECT rid, t, start FROM standing JOIN (SELECT t, count(*) AS keys FROM keyed GROUP BY t) USING (t) WHERE n = keys),
     agreed AS (
       SELECT s.rid, s.t, s.start, count(*) AS n FROM stand s JOIN template x ON x.t = s.t JOIN place p ON p.rid = s.rid AND p.i = s.start + x.pos AND p.word = x.word GROUP BY ALL),
     hits AS (
