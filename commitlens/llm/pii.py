@@ -7,8 +7,10 @@ the same but for punctuation, however distant, share a skip potential; so do a k
 number and tokens, or runs of them, whose digits are the number's or its last seven and more. Tokens in
 a base span are fixed to its kind, so that the fields' messages carry it to the
 bare repeats elsewhere in the document ("555-6503" after "+1 (499) 555-6503").
-Sum-product messages are passed a fixed number of rounds over all the graphs of
-a batch at once; tokens that end up surely of a kind add spans.
+Sum-product messages are passed a fixed number of rounds over the graphs of some
+texts at once (``GRAPH_TOKENS`` or one text); tokens that end up surely of a kind add spans.
+Messages are five numbers a link and direction, and the potentials are not spelled out, so
+memory is in proportion to the text.
 
 The weights are fitted here, by pseudo-likelihood, on sentences that a seeded
 generator makes: no labelled tokens exist in the corpus.
@@ -16,7 +18,7 @@ generator makes: no labelled tokens exist in the corpus.
 Edge cases: a null text is empty; texts without spans have an empty list and the
 digest of the empty string; rows that repeat are labelled each on its own; ids may
 be null; an empty table gives no rows. Columns other than ``doc_id`` and ``text``
-are ignored (``redact`` keeps them). All patterns are linear in the text.
+are ignored (``redact`` keeps them). Texts and tokens of any length are read whole; all patterns are linear in the text.
 """
 
 from __future__ import annotations
@@ -94,6 +96,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 STRIP = "\"'`.,;:!?*#$%&|<>[]{}=~^_"
 CUES = {"email": 1, "mail": 1, "contact": 1, "ip": 2, "host": 2, "server": 2, "address": 2, "card": 3, "visa": 3, "pay": 3, "phone": 4, "call": 4, "tel": 4, "fax": 4, "mobile": 4}
 FEATURES = 20
+CUE = re.compile(r"[a-z]+")
+#: Graphs of so many tokens together (or one larger) pass their messages at once.
+GRAPH_TOKENS = 1 << 14
 
 
 def tokens(text: str) -> list[tuple[int, int]]:
@@ -108,17 +113,28 @@ def tokens(text: str) -> list[tuple[int, int]]:
     return found
 
 
-def evidence(text: str, start: int, end: int) -> list[float]:
-    word = text[start:end][:200]
+def cues(text: str, found: list[tuple[int, int]]) -> Iterator[int]:
+    """Of each token the kind that the last word before it announces, or 0; each part of the text is read once or twice."""
+    kind, since = 0, 0
+    for start, _ in found:
+        near = max(since, start - 24)
+        words = CUE.findall(text[near:start].lower())
+        if near > since and (not words or (len(words) == 1 and text[near].isalpha())):  # none, or one that may be cut
+            words = CUE.findall(text[since:start].lower())
+        kind, since = CUES.get(words[-1], 0) if words else kind, start
+        yield kind
+
+
+def evidence(text: str, start: int, end: int, cue: int) -> bytes:
+    """FEATURES bytes of 0 and 1."""
+    word = text[start:end]
     digits = sum("0" <= c <= "9" for c in word)
     letters = sum(c.isalpha() for c in word)
-    before = re.findall(r"[a-z]+", text[max(0, start - 24) : start].lower())
-    cue = CUES.get(before[-1], 0) if before else 0
     quads = word.count(".") == 3 and all(p.isdigit() and len(p) <= 3 for p in word.split("."))
     local, at, domain = word.partition("@")
-    row = [1.0, bool(local and at and domain), "." in domain, quads, word.startswith("+"), "(" in word or ")" in word, "-" in word]
+    row = [True, bool(local and at and domain), "." in domain, quads, word.startswith("+"), "(" in word or ")" in word, "-" in word]
     row += [digits <= 2, 3 <= digits <= 6, 7 <= digits <= 11, 12 <= digits <= 19, digits > 19, letters == 0, 0 < letters <= digits, letters > digits, "=" in word or "/" in word]
-    return [*map(float, row), *(float(cue == k) for k in range(1, 5))]
+    return bytes([*row, *(cue == k for k in range(1, 5))])
 
 
 def skip_key(word: str) -> str:
@@ -139,18 +155,21 @@ def known_ends(text: str, known: list[tuple[str, int, int]]) -> dict[int, list[s
     return out
 
 
-def held(found: list[tuple[int, int]], known: list[tuple[str, int, int]]) -> tuple[list[int], list[list[int]]]:
-    """Of each token its fixed label (0 where free), and the starts of the known spans that begin with it."""
-    fixed, starts, at, done = [0] * len(found), [[] for _ in found], 0, set()
+def held(found: list[tuple[int, int]], known: list[tuple[str, int, int]]) -> tuple[list[int], dict[int, list[int]]]:
+    """Of each token its fixed label (0 where free), and by token the starts of the known spans that begin with it."""
+    fixed, starts, at, done = [0] * len(found), {}, 0, -1
     for i, (a, b) in enumerate(found):
         while at < len(known) and known[at][2] <= a:
             at += 1
-        for kind, s, e in known[at : at + 8]:
-            if s < b and e > a:
+        n = at
+        while n < len(known) and known[n][1] < b:
+            kind, s, e = known[n]
+            if e > a:
                 fixed[i] = fixed[i] or 1 + ORDER[kind]
-                if s not in done:
-                    done.add(s)
-                    starts[i].append(s)
+                if s > done:
+                    done = s
+                    starts.setdefault(i, []).append(s)
+            n += 1
     return fixed, starts
 
 
@@ -177,7 +196,7 @@ def with_runs(text: str, found: list[tuple[int, int]], fixed: list[int], ends: s
     return out[::-1], keys[::-1]
 
 
-def graph(text: str, known: list[tuple[str, int, int]]) -> tuple[list, list, list, list, list]:
+def graph(text: str, known: list[tuple[str, int, int]]) -> tuple[list, bytes, list, list, list]:
     """Tokens, evidence, fixed labels (0 where free), chain links and skip links of one text."""
     found, known = tokens(text), sorted(known, key=lambda s: s[1:])
     fixed, starts = held(found, known)
@@ -186,11 +205,11 @@ def graph(text: str, known: list[tuple[str, int, int]]) -> tuple[list, list, lis
         every, phones = ({e for k, a, _ in known if k in kinds for e in ends[a]} for kinds in (("card", "phone"), ("phone",)))
         found, keys = with_runs(text, found, fixed, every, phones)
         fixed, starts = held(found, known)
-    rows = [evidence(text, a, b) for a, b in found]
+    rows = b"".join(evidence(text, a, b, cue) for (a, b), cue in zip(found, cues(text, found), strict=True))
     # pieces of one word are apart
     chain = [(i, i + 1) for i in range(len(found) - 1) if found[i + 1][0] - found[i][1] <= 3 and BLANK.search(text, found[i][1], found[i + 1][0])]
-    gives = [[*([key] if key and fixed[i] else []), *(e for s in starts[i] for e in ends.get(s, []))] for i, key in enumerate(keys)]
-    order = [i for i in range(len(found)) if keys[i] or gives[i]]
+    gives = {i: [*([key] if key and fixed[i] else []), *(e for s in starts.get(i, ()) for e in ends.get(s, ()))] for i, key in enumerate(keys) if fixed[i]}
+    order = [i for i in range(len(found)) if keys[i] or gives.get(i)]
     last: dict[str, int] = {}
     links = set()  # to the one before, and to the nearest known ones on both sides: linear in the repeats
     for i in order:
@@ -203,7 +222,7 @@ def graph(text: str, known: list[tuple[str, int, int]]) -> tuple[list, list, lis
         for i in way:
             if keys[i] in sure:
                 links.add((min(i, sure[keys[i]]), max(i, sure[keys[i]])))
-            sure |= dict.fromkeys(gives[i], i)
+            sure |= dict.fromkeys(gives.get(i, ()), i)
     return found, rows, fixed, chain, sorted(links, key=lambda x: x[::-1])
 
 
@@ -251,12 +270,12 @@ def fitted(seed: int = 7, n: int = 1500, rounds: int = 400) -> tuple:
             marks[len(text)] = k
             text += w + " "
         found, rows, _, chain, skip = graph(text, [])
-        xs += rows
+        xs.append(rows)
         ys += [LABELS.index(next((marks[s] for s in range(a, max(-1, a - 2), -1) if s in marks), "none") or "none") for a, _ in found]
         chains += [(i + at, j + at) for i, j in chain]
         skips += [(i + at, j + at) for i, j in skip]
         at += len(found)
-    x, y, k = np.array(xs), np.array(ys), len(LABELS)
+    x, y, k = np.frombuffer(b"".join(xs), np.uint8).reshape(-1, FEATURES).astype(float), np.array(ys), len(LABELS)
     chain, skip = np.array(chains).reshape(-1, 2), np.array(skips).reshape(-1, 2)
     hot = np.eye(k)[y]
     after, before, same = np.zeros((len(y), k)), np.zeros((len(y), k)), np.zeros((len(y), k))
@@ -282,76 +301,98 @@ def fitted(seed: int = 7, n: int = 1500, rounds: int = 400) -> tuple:
 
 
 def beliefs(x, fixed, chain, skip, weights: tuple, rounds: int = 6):  # noqa: ANN001, ANN201
-    """Marginals after a fixed number of rounds of loopy sum-product messages over all links at once."""
+    """Marginals after a fixed number of rounds of loopy sum-product messages over all links at once.
+
+    ``x`` has a row of features per token, ``fixed`` its label or 0, ``chain`` and ``skip`` pairs of tokens.
+    """
     import numpy as np
 
     w, c, s = weights
-    k = len(LABELS)
-    unary = x @ w
+    unary = np.concatenate([x[at : at + GRAPH_TOKENS] @ w for at in range(0, len(x), GRAPH_TOKENS)])
     held = fixed > 0
     unary[held] = -1e9  # more than the messages of any number of repeats
     unary[held, fixed[held]] = 0.0
-    links = np.concatenate([chain, skip]).astype(np.int64)
-    potential = np.concatenate([np.broadcast_to(c, (len(chain), k, k)), np.broadcast_to(s * np.eye(k), (len(skip), k, k))])
-    source = np.concatenate([links[:, 0], links[:, 1]])
-    target = np.concatenate([links[:, 1], links[:, 0]])
-    potential = np.concatenate([potential, potential.transpose(0, 2, 1)])
-    back = np.roll(np.arange(len(source)), len(links))
-    message = np.zeros((len(source), k))
+    # messages go along chain links, along skip links, against chain links, against skip links
+    links = [(chain[:, 0], chain[:, 1]), (skip[:, 0], skip[:, 1]), (chain[:, 1], chain[:, 0]), (skip[:, 1], skip[:, 0])]
+    message = [np.zeros((len(source), len(LABELS))) for source, _ in links]
+    along, same = np.exp(c), np.expm1(s)
 
     def gathered():  # noqa: ANN202
         total = unary.copy()
-        np.add.at(total, target, message)
+        for (_, target), m in zip(links, message, strict=True):
+            for label in range(len(LABELS)):
+                total[:, label] += np.bincount(target, m[:, label], len(total))
         return total
 
-    for _ in range(rounds if len(links) else 0):
-        out = (gathered()[source] - message[back])[:, :, None] + potential
-        top = out.max(1)
-        new = top + np.log(np.exp(out - top[:, None, :]).sum(1))
-        message = 0.5 * message + 0.5 * (new - new.max(1, keepdims=True))
+    for _ in range(rounds if len(chain) + len(skip) else 0):
+        total, new = gathered(), []
+        for n, (source, _) in enumerate(links):
+            out = total[source] - message[(n + 2) % 4]
+            p = np.exp(out - out.max(1, keepdims=True))
+            # a skip potential is exp(s) for equal labels and 1 for others
+            sent = np.log(p @ (along if n == 0 else along.T) if n % 2 == 0 else p.sum(1, keepdims=True) + same * p)
+            new.append(sent - sent.max(1, keepdims=True))
+        message = [0.5 * m + 0.5 * sent for m, sent in zip(message, new, strict=True)]
     total = gathered()
     p = np.exp(total - total.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
 
 
-def all_spans(texts: list[str], weights: tuple, sure: float = 0.9) -> list[tuple[list, list]]:
-    """For each text its base spans and those that the field adds."""
+def labelled(graphs: list[tuple], weights: tuple):  # noqa: ANN201
+    """Of the graphs' tokens, one after another, the likeliest label and how likely it is."""
     import numpy as np
 
-    base = [base_spans(t) for t in texts]
-    graphs, at = [], 0
-    x, fixed, chain, skip = [], [], [], []
-    for text, known in zip(texts, base, strict=True):
-        found, rows, held, next_to, same = graph(text, known)
-        graphs.append((found, at, {i for i, j in next_to if not PARTED.search(text, found[i][1], found[j][0])}))
-        x += rows
-        fixed += held
-        chain += [(i + at, j + at) for i, j in next_to]
-        skip += [(i + at, j + at) for i, j in same]
-        at += len(found)
-    if not at:
-        return [(b, []) for b in base]
-    p = beliefs(np.array(x), np.array(fixed), np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2), weights)
-    label, certain = p.argmax(1), p.max(1) >= sure
-    out = []
-    for (found, first, joined), known in zip(graphs, base, strict=True):
-        added: list[tuple[str, int, int]] = []
-        previous = -1
-        for i, (a, b) in enumerate(found):
-            n = first + i
-            if fixed[n] or not label[n] or not certain[n]:
-                previous = -1
-                continue
-            kind = LABELS[label[n]]
-            if previous == i - 1 and previous in joined and added and added[-1][0] == kind:
-                added[-1] = (kind, added[-1][1], b)
-            else:
-                added.append((kind, a, b))
-            previous = i
-        out.append((known, added))
+    sizes = [len(found) for found, *_ in graphs]
+    first = np.cumsum([0, *sizes])
+    pairs = [np.concatenate([np.array(g[n], np.int64).reshape(-1, 2) + at for g, at in zip(graphs, first, strict=False)]) for n in (3, 4)]
+    x = np.frombuffer(b"".join(g[1] for g in graphs), np.uint8).reshape(-1, FEATURES)
+    p = beliefs(x, np.array([f for g in graphs for f in g[2]]), *pairs, weights)
+    return zip(*(np.split(v, first[1:-1]) for v in (p.argmax(1), p.max(1))), strict=True)
+
+
+def all_spans(texts: list[str], weights: tuple, sure: float = 0.9) -> list[tuple[list, list]]:
+    """For each text its base spans and those that the field adds."""
+    out: list[tuple[list, list]] = []
+    group: list[tuple] = []
+    places: list[int] = []
+
+    def settle() -> None:
+        for at, (found, _, fixed, chain, _), (label, likely) in zip(places, group, labelled(group, weights), strict=True):
+            out[at][1].extend(added_spans(texts[at], found, fixed, chain, label.tolist(), (likely >= sure).tolist()))
+        group.clear()
+        places.clear()
+
+    for text in texts:
+        out.append((base_spans(text), []))
+        made = graph(text, out[-1][0])
+        if made[0]:
+            group.append(made)
+            places.append(len(out) - 1)
+        if sum(len(g[0]) for g in group) >= GRAPH_TOKENS:
+            settle()
+    if group:
+        settle()
     return out
 
 
+def added_spans(text: str, found: list, fixed: list, chain: list, label: list, certain: list) -> list[tuple[str, int, int]]:
+    """Spans of the free tokens that are surely of a kind; neighbours of one kind with blanks between are one span."""
+    joined = {i for i, j in chain if not PARTED.search(text, found[i][1], found[j][0])}
+    added: list[tuple[str, int, int]] = []
+    previous = -1
+    for i, (a, b) in enumerate(found):
+        if fixed[i] or not label[i] or not certain[i]:
+            previous = -1
+            continue
+        kind = LABELS[label[i]]
+        if previous == i - 1 and previous in joined and added and added[-1][0] == kind:
+            added[-1] = (kind, added[-1][1], b)
+        else:
+            added.append((kind, a, b))
+        previous = i
+    return added
+
+
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, base and added: the spans' kinds and bounds in code points, as texts (``span_text``), and base counts."""
     weights = fitted()

@@ -76,6 +76,68 @@ def test_numbers_that_are_no_end_of_a_known_one_are_left():
     assert pii.all_spans([text], pii.fitted())[0][1] == []
 
 
+def exact_marginals(unary, fixed, chain, skip, c, same):
+    """By enumerating all labellings."""
+    n, total = len(unary), np.zeros((len(unary), 5))
+    for labels in itertools.product(range(5), repeat=n):
+        if all(f in (0, y) for f, y in zip(fixed, labels, strict=True)):
+            score = sum(unary[i][y] for i, y in enumerate(labels)) + sum(c[labels[i], labels[j]] for i, j in chain) + sum(same * (labels[i] == labels[j]) for i, j in skip)
+            for i, y in enumerate(labels):
+                total[i, y] += math.exp(score)
+    return total / total.sum(1, keepdims=True)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_marginals_equal_enumeration_on_trees(seed):
+    r = np.random.default_rng(seed)
+    w, c, same = r.normal(size=(pii.FEATURES, 5)), r.normal(size=(5, 5)), 1.5
+    x, fixed = r.integers(0, 2, (6, pii.FEATURES)), np.array([0, 0, 3, 0, 0, 0])
+    chain, skip = np.array([(0, 1), (1, 2), (4, 5)]), np.array([(0, 3), (2, 4)])
+    unary = x @ w
+    unary[2] = [0 if y == 3 else unary[2][y] for y in range(5)]
+    got = pii.beliefs(x.astype(np.uint8), fixed, chain, skip, (w, c, same), rounds=80)
+    assert np.abs(got - exact_marginals(unary, fixed, chain, skip, c, same)).max() < 1e-6
+
+
+SHORT = [
+    "call +1 (499) 555-6503 or 555-6503 now", "ip 10.0.0.1, then 10.0.0.1 on 2024", "ann@host1.example.com wrote, ann@host1.example.com too", "mail ann@host1 or 20240103",
+    "pay 4111 1111 1111 1111 then 4111-1111-1111-1111", "555-6503 so +1 (499) 555-6503", "v1.2.3 in 2024 with x=12345ab", "tel:5556503 and +1 (499) 555-6503", "host 10.0.0.1 port 8080",
+]
+
+
+@pytest.mark.parametrize("text", SHORT)
+def test_spans_equal_those_of_exact_marginals(text):
+    base = plain_pii(text)
+    found, rows, fixed, chain, skip = pii.graph(text, base)
+    x = np.frombuffer(rows, np.uint8).reshape(-1, pii.FEATURES)
+    w, c, same = pii.fitted()
+    overlaps = [next((1 + pii.KINDS.index(k) for k, s, e in sorted(base, key=lambda z: z[1:]) if s < b and e > a), 0) for a, b in found]
+    assert fixed == overlaps
+    p = exact_marginals(x @ w, fixed, chain, skip, c, same)
+    wanted = [(pii.LABELS[q.argmax()], *found[i]) for i, q in enumerate(p) if not fixed[i] and q.argmax() and q.max() >= 0.9]
+    assert pii.all_spans([text], pii.fitted()) == [(base, wanted)]
+
+
+def test_evidence_is_of_whole_tokens_and_texts():
+    long = "x" * 300 + "@mail.example"
+    ((a, b),) = pii.tokens(long)
+    assert pii.evidence(long, a, b, 0)[1:3] == b"\1\1"
+    text = "phone" + " " * 500 + "12 and 34 contact: 5" + " " * 30 + "6"
+    assert list(pii.cues(text, pii.tokens(text))) == [4, 0, 1, 1]
+    many = "+1 (499) 555-6503 " * 12
+    assert all(pii.held(pii.tokens(many), pii.base_spans(many))[0])
+
+
+def test_memory_is_in_proportion_to_the_text():
+    import tracemalloc
+
+    text = " ".join(str(10_000_000 + i * 7919 % 80_000_000) for i in range(110_000))  # a megabyte of numbers
+    tracemalloc.start()
+    pii.all_spans([text], pii.fitted())
+    assert tracemalloc.get_traced_memory()[1] < 125 << 20
+    tracemalloc.stop()
+
+
 def test_pii_result_does_not_depend_on_the_batch():
     texts = ["call +1 (499) 555-6503 or 555-6503", "clean", "ip 10.0.0.1 then 10.0.0.1"]
     whole = pii.all_spans(texts, pii.fitted())
