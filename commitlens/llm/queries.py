@@ -34,7 +34,8 @@ def op5_simhash_covering_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.listed_sites(spark))
+    pages = table(spark, sf_dir, "pages")
+    return urlfilter.judge(pages, urlfilter.listed_addresses(pages))
 
 
 def op7_mix_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:

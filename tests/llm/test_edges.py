@@ -83,7 +83,7 @@ def test_queries_over_odd_and_empty_tables(spark, odd, none, tmp_path, name):
 
 def test_empty_urls_and_vectors(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
-    assert urlfilter.judge(pages, urlfilter.listed_sites(spark)).count() == 0
+    assert urlfilter.judge(pages, urlfilter.listed_addresses(pages)).count() == 0
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
