@@ -5,11 +5,14 @@ samples, 64 to a row) and appends them to a tar shard of its own, each digest
 once a shard, so nothing is shuffled and no group of copies meets in one task.
 The index (a row per input row) is kept in the shared folder before anything is read back:
 an attempt that is lost or run twice leaves an unreferenced shard, never a
-row that points at the wrong bytes. ``metadata`` fills width, height and depth
-from range reads of the first 33 bytes of a payload; ``features`` reads and decodes all of it.
+row that points at the wrong bytes. ``canonical`` names one place per digest over
+all shards: payloads are read back from there, each once, and rows get what was read by
+their digest. ``metadata`` fills width, height and depth from range reads of the first 33
+bytes of a payload; ``features`` reads and decodes all of it.
 
 Edge cases: a null text is empty (64 zero bytes); equal texts give equal values
-wherever they are stored; ids may be null; rows that repeat share a payload; an
+wherever they are stored; ids may be null; rows that repeat share a payload; of equal payloads in several shards
+the least place counts; a very long text is one payload, and one shard if it is larger than that; an
 empty table gives no rows and no shard. Columns other than ``doc_id`` and ``text`` are ignored.
 """
 
@@ -26,6 +29,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from commitlens.llm.common import arrow_schema, cut, shared_dir, slices
 
@@ -138,11 +144,20 @@ def store(docs: DataFrame, folder: str | None = None) -> DataFrame:
     return cut(docs.select("doc_id", "text").mapInArrow(run, INDEX))
 
 
-def _from_shards(index: DataFrame, read: Callable, extra: str) -> DataFrame:
-    """``index`` with the columns that ``read(file, offset, length)`` gives; each payload of a batch is read once."""
-    target = INDEX + ", " + extra
-    spark = index.sparkSession
-    schema = arrow_schema(spark, target)
+def canonical(index: DataFrame) -> DataFrame:
+    """digest, shard, offset, length: of all shards that hold a digest the least place."""
+    return index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("place")).select("digest", "place.*")
+
+
+def in_order(places: DataFrame, tasks: int) -> DataFrame:
+    """``places`` dealt by where they are, so that a task reads on in few shards."""
+    return places.repartitionByRange(max(1, tasks), "shard", "offset").sortWithinPartitions("shard", "offset")
+
+
+def _from_shards(places: DataFrame, read: Callable, extra: str) -> DataFrame:
+    """``places`` (shard, offset, length and others) with the columns that ``read(file, row)`` gives; each payload of a batch is read once."""
+    target = T.StructType([*places.schema.fields, *_parse_datatype_string(extra).fields])
+    schema = to_arrow_schema(target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uri, file = None, None
@@ -158,40 +173,42 @@ def _from_shards(index: DataFrame, read: Callable, extra: str) -> DataFrame:
                         file.close()
                     files, path = filesystem(r["shard"])
                     uri, file = r["shard"], files.open_input_file(path)
-                seen[key] = read(file, r["offset"], r["length"])
+                seen[key] = read(file, r)
             full = [(*r.values(), *seen[r["shard"], r["offset"]]) for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in full], t.type) for i, t in enumerate(schema)], schema=schema)
         if file:
             file.close()
 
-    return index.mapInArrow(run, target)
+    return places.mapInArrow(run, target)
 
 
-def metadata(index: DataFrame) -> DataFrame:
-    """``index`` with width, height and bits a sample, from range reads of the headers alone."""
-    return _from_shards(index, lambda file, at, size: header(file.read_at(min(HEADER, size), at)), "width int, height int, bits int")
+def metadata(places: DataFrame) -> DataFrame:
+    """``places`` with width, height and bits a sample, from range reads of the headers alone."""
+    return _from_shards(places, lambda file, r: header(file.read_at(min(HEADER, r["length"]), r["offset"])), "width int, height int, bits int")
 
 
-def canonical(index: DataFrame) -> DataFrame:
-    """digest, shard, offset, length: of all shards that hold a digest the least place, for a reader that wants each payload once."""
-    return index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("place")).select("digest", "place.*")
-
+def features(places: DataFrame) -> DataFrame:
+    """``places`` with what the stored bytes tell: sizes, digests and a feature text of the samples."""
 
-def features(index: DataFrame) -> DataFrame:
-    """``index`` with what the stored bytes tell: sizes, digests, header fields and a feature text."""
-
-    def read(file, at: int, size: int) -> tuple:  # noqa: ANN001
+    def read(file, r: dict) -> tuple:  # noqa: ANN001
         import numpy as np
 
-        media = file.read_at(size, at)
-        width, height, bits = header(media[:HEADER])
+        media = file.read_at(r["length"], r["offset"])
         samples = decode(media)
         counts = np.bincount(np.frombuffer(samples, np.uint8), minlength=256)
         shares = counts[counts > 0] / len(samples)
-        feature = f"{width}x{height}x{bits}:mean={counts @ np.arange(256) / len(samples):.6f}:entropy={-(shares * np.log2(shares)).sum():.6f}"
+        feature = f"mean={counts @ np.arange(256) / len(samples):.6f}:entropy={-(shares * np.log2(shares)).sum():.6f}"
         return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
-    return _from_shards(index, read, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return _from_shards(places, read, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, samples string")
+
+
+def described(index: DataFrame) -> DataFrame:
+    """Each row of ``index`` (doc_id, n_bytes, digest) with its payload's one place, header fields and features."""
+    tasks = index.select("shard").distinct().count()
+    read = cut(features(metadata(in_order(canonical(index), tasks))))
+    size = F.concat_ws("x", *(F.col(c).cast("string") for c in ("width", "height", "bits")))
+    return index.select("doc_id", "n_bytes", "digest").join(read, "digest").withColumn("feature", F.concat_ws(":", size, "samples"))
 
 
 def members(shard: str) -> Iterator[tuple[str, bytes]]:

@@ -24,7 +24,7 @@ def op3_pack_power_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media_tar_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = media.features(media.store(table(spark, sf_dir, "documents")))
+    found = media.described(media.store(table(spark, sf_dir, "documents")))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 

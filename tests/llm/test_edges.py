@@ -88,7 +88,7 @@ def test_empty_urls_and_vectors(spark):
 
 
 def test_media_of_equal_texts_is_equal(odd):
-    rows = media.features(media.store(odd)).collect()
+    rows = media.described(media.store(odd)).collect()
     by = collections.defaultdict(set)
     for r in rows:
         by[r.payload_sha256].add((r.n_bytes, r.payload_bytes, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature))
