@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 
 from commitlens.model import Options
 from commitlens.operators import loc
+from commitlens.operators.age import undated
 from commitlens.operators.transforms import apply_groups, apply_teams
 from commitlens.plans.analyses import ANALYSES
 from commitlens.plans.present import present
@@ -57,7 +58,7 @@ def options_of(args: argparse.Namespace) -> Options:
             if len(text) != 10:
                 raise ValueError
         except ValueError:
-            raise ValueError(f"--age-time-now: expected YYYY-MM-DD, got {text!r}") from None
+            raise ValueError(f"{text!r} is no day for --age-time-now, which takes YYYY-MM-DD") from None
     return Options(**given, verbose=getattr(args, "verbose_results", False))
 
 
@@ -73,19 +74,26 @@ def run(args: argparse.Namespace) -> None:
         if args.outfile:
             with open(args.outfile, "w", encoding="utf-8", errors="surrogateescape", newline="") as to:
                 to.writelines(lines)
+            print(f"Log written to {args.outfile}", file=sys.stderr)
         else:
             sys.stdout.writelines(lines)
         return
     options = options_of(args)
     if args.command == "cloc":
-        counts = loc.exclude_files(loc.count_lines(producer.tracked_texts(session(), args.path)), args.exclude)
+        files = loc.exclude_files(producer.tracked_texts(session(), args.path), args.exclude)
+        counts = loc.count_lines(files)
+        if left := loc.unknown_files(files).count():
+            print(f"left out: {left} files of languages that aren't known", file=sys.stderr)
         report = present(loc.by_file(counts), "cloc-by-file", args.rows) if args.by_file else present(loc.by_language(counts), "cloc", args.rows)
     else:
         if not args.log:
-            raise ValueError("--log (-l) is required")
+            raise ValueError(f"{args.command} needs a log file: --log or -l")
         commits = read_git_log(session(), args.log)
         commits = apply_groups(commits, read_groups(args.group)) if args.group else commits
         commits = apply_teams(commits, read_teams(args.team_map_file)) if args.team_map_file else commits
+        if args.command == "age":
+            for row in undated(commits).orderBy("entity").toLocalIterator():
+                print(f"warning: no age for {row['entity']!r}, whose last date is {row['last']!r}", file=sys.stderr)
         report = present(ANALYSES[args.command](commits, options), args.command, args.rows, options)
     if args.outfile:
         sinks.write_csv_file(report, args.outfile)

@@ -8,13 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def last_days(commits: DataFrame) -> DataFrame:
+    """entity, its last date (the largest as text) and that as a day, null where it isn't one."""
+    last = commits.groupBy("entity").agg(F.max("date").alias("last"))
+    return last.withColumn("day", F.try_to_date("last", "yyyy-MM-dd"))
+
+
 def age(commits: DataFrame, now: date | None = None) -> DataFrame:
-    """Months from each entity's last date (the largest as text) to ``now``, days aside, at least 0.
+    """Months from each entity's last date to ``now``, days aside, at least 0.
 
-    An entity whose last date isn't one is left out, whatever its earlier dates.
+    An entity whose last date isn't one is left out, whatever its earlier dates; ``undated`` has these.
     """
     now = now or date.today()
-    last = commits.groupBy("entity").agg(F.max("date").alias("last"))
-    day = F.try_to_date("last", "yyyy-MM-dd")
     months = (F.lit(now.year) - F.year("day")) * 12 + (F.lit(now.month) - F.month("day"))
-    return last.select("entity", day.alias("day")).filter("day is not null").select("entity", F.greatest(F.lit(0), months).cast("bigint").alias("age_months"))
+    return last_days(commits).filter("day is not null").select("entity", F.greatest(F.lit(0), months).cast("bigint").alias("age_months"))
+
+
+def undated(commits: DataFrame) -> DataFrame:
+    """entity and last date where that isn't a day."""
+    return last_days(commits).filter("day is null").select("entity", "last")

@@ -13,7 +13,7 @@ from commitlens.operators.churn import percent, top_of
 
 
 def _revs(commits: DataFrame) -> DataFrame:
-    """entity, author, author_revs, total_revs: both counts from one exchange on the entity."""
+    """entity, author, author_revs, total_revs. Both counts share the exchange that makes rows distinct; it isn't on the entity alone, as a popular one would be one task's."""
     once = commits.select("entity", "author", "rev").distinct()
     each = once.groupBy("entity", "author").agg(F.count("*").alias("author_revs"))
     total = once.groupBy("entity").agg(F.count_distinct("rev").alias("total_revs"))

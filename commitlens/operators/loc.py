@@ -28,13 +28,16 @@ LANGUAGES = (
 
 
 def language_of(file: str | Column) -> Column:
-    """The language by a file's name; null if it isn't known."""
+    """The language by a file's whole name, or by what its last dot begins; null if neither is known."""
     name = F.substring_index(file, "/", -1)
-    out = F.lit(None).cast("string")
-    for language, ends, *_ in reversed(LANGUAGES):
-        fits = (name.endswith(e) if e.startswith(".") else name == e for e in ends)
-        out = F.when(reduce(or_, fits), F.lit(language)).otherwise(out)
-    return out
+    known = F.create_map(*(F.lit(x) for language, ends, *_ in LANGUAGES for end in ends for x in (end, language)))
+    ending = F.concat(F.lit("."), F.substring_index(name, ".", -1))
+    return F.coalesce(F.try_element_at(known, name), F.when(name.contains("."), F.try_element_at(known, ending)))
+
+
+def unknown_files(files: DataFrame) -> DataFrame:
+    """The rows of ``files`` that ``count_lines`` leaves out."""
+    return files.filter(language_of("file").isNull())
 
 
 def count_lines(files: DataFrame) -> DataFrame:
@@ -43,11 +46,9 @@ def count_lines(files: DataFrame) -> DataFrame:
     The lines of a file are folded with whether a block comment is open; a file is one row, whatever its size.
     """
     named = files.withColumn("language", language_of("file")).filter("language is not null")
-    marks = F.lit(None)
-    for language, _, lines, begin, end in LANGUAGES:
-        entry = F.struct(F.array(*map(F.lit, lines)).cast("array<string>").alias("line"), F.lit(begin).alias("begin"), F.lit(end).alias("end"))
-        marks = F.when(F.col("language") == language, entry).otherwise(marks)
-    ended = F.regexp_replace("text", r"\n$", "")
+    entries = ((language, F.struct(F.array(*map(F.lit, lines)).cast("array<string>").alias("line"), F.lit(begin).alias("begin"), F.lit(end).alias("end"))) for language, _, lines, begin, end in LANGUAGES)
+    marks = F.try_element_at(F.create_map(*(x for language, entry in entries for x in (F.lit(language), entry))), F.col("language"))
+    ended = F.regexp_replace("text", r"\n\z", "")
     lines = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split(ended, "\n"))
     zero = F.lit(0).cast("bigint")
     start = F.struct(F.lit(False).alias("open"), zero.alias("blank"), zero.alias("comment"), zero.alias("code"))

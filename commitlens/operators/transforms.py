@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from commitlens.functions.patterns import exclude_regexes
+from commitlens.functions.patterns import path_regex
 
 #: A team map of at most so many authors is broadcast; larger ones are joined as Spark sees fit.
 BROADCAST_AUTHORS = 100_000
@@ -25,21 +25,20 @@ def apply_teams(commits: DataFrame, teams: dict[str, str]) -> DataFrame:
     """Authors become their teams; those without one go. An empty map: no change."""
     if not teams:
         return commits
-    rows = commits.sparkSession.createDataFrame(list(teams.items()), "author string, _team string")
-    joined = commits.join(F.broadcast(rows) if len(teams) <= BROADCAST_AUTHORS else rows, "author")
+    rows = commits.sparkSession.createDataFrame(list(teams.items()), "author string, team string")
+    return join_teams(commits, F.broadcast(rows) if len(teams) <= BROADCAST_AUTHORS else rows)
+
+
+def join_teams(commits: DataFrame, teams: DataFrame) -> DataFrame:
+    """The same with a table of teams (author, distinct, and team)."""
+    joined = commits.join(teams.select("author", F.col("team").alias("_team")), "author")
     return joined.withColumn("author", F.col("_team")).select(*commits.columns)
 
 
 def is_excluded(path: str | Column, patterns: list[str]) -> Column:
     """Whether a path matches any exclude pattern: a directory at the root, or a glob on the whole path or its last part."""
-    path = F.col(path) if isinstance(path, str) else path
-    hit = F.lit(False)
-    for prefix, glob in map(exclude_regexes, patterns):
-        if prefix is not None:
-            hit = hit | path.startswith(prefix)
-        elif glob is not None:
-            hit = hit | path.rlike(glob) | F.substring_index(path, "/", -1).rlike(glob)
-    return hit
+    path, whole = F.col(path) if isinstance(path, str) else path, path_regex(patterns)
+    return F.lit(False) if whole is None else path.rlike(rf"^{whole}\z")
 
 
 def exclude_paths(commits: DataFrame, patterns: list[str]) -> DataFrame:
@@ -47,8 +46,6 @@ def exclude_paths(commits: DataFrame, patterns: list[str]) -> DataFrame:
 
 
 def exclude_log_lines(lines: DataFrame, patterns: list[str]) -> DataFrame:
-    """Raw log lines (``value``) without those of excluded files; headers, blank and other lines pass, with their line ends."""
-    bare = F.regexp_replace("value", r"[\r\n]+$", "")
-    parts = F.split(bare, "\t", 3)
-    is_file = ~bare.startswith("--") & (F.size(parts) == 3)
-    return lines.filter(~(is_file & is_excluded(F.get(parts, F.lit(2)), patterns))) if patterns else lines
+    """Raw log lines (``value``) without those of excluded files; all without three fields pass, with their line ends."""
+    whole = path_regex(patterns)
+    return lines if whole is None else lines.filter(~F.rtrim("value", F.lit("\r\n")).rlike(rf"^[^\t]*\t[^\t]*\t{whole}\z"))

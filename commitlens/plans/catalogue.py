@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from commitlens.model import COMMIT_COLUMNS, Options
 from commitlens.operators import loc
-from commitlens.operators.transforms import apply_groups, apply_teams, exclude_log_lines, exclude_paths
+from commitlens.operators.transforms import apply_groups, apply_teams, exclude_log_lines, exclude_paths, join_teams
 from commitlens.plans.analyses import ANALYSES
+from commitlens.plans.present import present
 from commitlens.sources.gitlog import log_lines, read_git_log
-from commitlens.sources.specs import parse_groups
+from commitlens.sources.producer import texts_under
+from commitlens.sources.sinks import write_csv_file
+from commitlens.sources.specs import parse_groups, read_groups, read_teams
 from commitlens.sources.storage import shared_dir
 from commitlens.sources.tables import COMMITS_SQL, commits_from_tables
 
@@ -28,10 +31,34 @@ def by_type(commits: DataFrame) -> DataFrame:
     return apply_groups(commits, parse_groups(f"src/{n.lower()} => {n}" for n in ("Standard", "Small", "Medium", "Large", "Economy", "Promo")))
 
 
+def region_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as authors, their regions as teams."""
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("author"), F.concat(F.lit("team"), F.col("n_regionkey").cast("string")).alias("team"))
+
+
 def by_region(spark: SparkSession, sf_dir: str, commits: DataFrame) -> DataFrame:
-    """Nations as authors, their regions as teams: a map of 25 rows."""
-    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name", F.concat(F.lit("team"), F.col("n_regionkey").cast("string"))).collect()
-    return apply_teams(commits, dict(map(tuple, rows)))
+    return join_teams(commits, region_teams(spark, sf_dir))
+
+
+def _new(spark: SparkSession, kind: str) -> str:
+    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def by_team_file(spark: SparkSession, sf_dir: str, commits: DataFrame) -> DataFrame:
+    """The same teams by way of a file, with a header and a comment."""
+    path = _new(spark, "teams")
+    rows = region_teams(spark, sf_dir).select(F.lit(2).alias("n"), F.concat_ws(", ", "author", "team").alias("value"))
+    head = spark.range(2).select(F.col("id").cast("int").alias("n"), F.when(F.col("id") == 0, "Author,Team").otherwise("# nations").alias("value"))
+    head.unionByName(rows).coalesce(1).sortWithinPartitions("n").select("value").write.text(path)
+    return apply_teams(commits, read_teams(path, spark))
+
+
+def by_group_file(spark: SparkSession, sf_dir: str, commits: DataFrame) -> DataFrame:
+    """Types as groups by way of a file: directories, and a pattern."""
+    path = _new(spark, "groups")
+    rules = ["# types", "", "src/standard => Standard", r"^src/\Qsmall\E/ => Small", "^src/(?:medium)/ => Medium", r"^src/lar\pL+/ => Large", "src/economy => Economy", "^src/[[:alpha:]]romo/ => Promo"]
+    spark.createDataFrame([("\n".join(rules),)], "value string").coalesce(1).write.text(path)
+    return apply_groups(commits, read_groups(path, spark))
 
 
 def _over(name: str, change: Callable | None = None, options: Options = LOOSE) -> Callable[[SparkSession, str], DataFrame]:
@@ -48,9 +75,14 @@ def _grouped(spark: SparkSession, sf_dir: str, commits: DataFrame) -> DataFrame:
 
 
 def log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables' commits written as log text and scanned again."""
-    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
-    log_lines(commits_from_tables(spark, sf_dir)).write.text(path)
+    """The tables' commits written as log text and scanned again: some authors have dashes, some
+    records have line ends of two characters, and some a malformed header within, whose lines stay the record's."""
+    path = _new(spark, "log")
+    commits = commits_from_tables(spark, sf_dir).withColumn("author", F.when(F.col("author").startswith("I"), F.concat(F.col("author"), F.lit("--too"))).otherwise(F.col("author")))
+    value, kind = F.col("value"), F.pmod(F.crc32("value"), F.lit(6))
+    broken = F.regexp_replace(value, r"\n([0-9-]+\t[^\n]*\n)$", "\n--broken--header\n$1")
+    written = F.when(kind == 0, F.replace(value, F.lit("\n"), F.lit("\r\n"))).when(kind == 1, broken).otherwise(value)
+    log_lines(commits).select(written.alias("value")).write.text(path)
     return read_git_log(spark, path).select(*COMMIT_COLUMNS)
 
 
@@ -59,8 +91,22 @@ def exclude_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exclude_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    commits = commits_from_tables(spark, sf_dir)
-    return exclude_log_lines(commits.select(F.concat_ws("\t", F.col("loc_added").cast("string"), F.col("loc_deleted").cast("string"), "entity").alias("value")), list(EXCLUDES))
+    """Each commit's lines: a header, a line of its file (some with line ends), and a blank one."""
+    end = F.when(F.col("loc_added") % 3 == 0, "\r").when(F.col("loc_added") % 3 == 1, "\r\n").otherwise("")
+    line = F.concat(F.concat_ws("\t", F.col("loc_added").cast("string"), F.col("loc_deleted").cast("string"), "entity"), end)
+    lines = F.array(F.concat(F.lit("--"), F.concat_ws("--", "rev", "date", "author")), line, F.lit(""))
+    return exclude_log_lines(commits_from_tables(spark, sf_dir).select(F.explode(lines).alias("value")), list(EXCLUDES))
+
+
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of revisions as a CSV file, read back; names have quotes, separators, line ends and leading blanks."""
+    path = _new(spark, "report")
+    path = f"{path if ':' in path.split('/')[0] else 'file://' + path}.csv"
+    odd = F.element_at(F.array(F.lit('say "'), F.lit("a, "), F.lit(" "), F.lit("two\nlines ")), (F.length("entity") % 4 + 1).cast("int"))
+    report = present(ANALYSES["revisions"](commits_from_tables(spark, sf_dir).withColumn("entity", F.concat(odd, F.col("entity"))), LOOSE), "revisions")
+    write_csv_file(report, path)
+    read = spark.read.options(header=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return read.select(F.col("entity"), F.col("n-revs").cast("bigint").alias("n_revs"))
 
 
 def topk_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,9 +115,9 @@ def topk_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def made_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file per part with blank, comment and code lines."""
+    """A file per part with blank, comment and code lines, and comments over several lines."""
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
-    line = lambda i: F.when(i % 5 == 0, F.lit("  ")).when(i % 7 == 0, F.lit("  # note // too")).when(i % 11 == 0, F.lit("// note")).otherwise(F.lit("x = 1;"))
+    line = lambda i: F.when(i % 5 == 0, F.lit("  ")).when(i % 7 == 0, F.lit("  # note // too")).when(i % 11 == 0, F.lit("// note")).when(i % 16 == 1, F.lit("/* open")).when(i % 16 == 4, F.lit("shut */")).otherwise(F.lit("x = 1;"))
     end = F.get(F.array(F.lit(".go"), F.lit(".py"), F.lit(".yaml"), F.lit(".unknown")), (F.col("p_partkey") % 4).cast("int"))
     text = F.array_join(F.transform(F.sequence(F.lit(1), F.col("p_size").cast("int")), line), "\n")
     return parts.select(F.concat(F.lit("src/part"), F.col("p_partkey").cast("string"), end).alias("file"), F.concat(text, F.lit("\n")).alias("text"))
@@ -85,6 +131,18 @@ def loc_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loc.by_file(loc.exclude_files(loc.count_lines(made_files(spark, sf_dir)), ["*9.py"]))
 
 
+def loc_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts' files put together by brand, written as files, and counted as executors read them."""
+    path = _new(spark, "files")
+    brand = F.replace(F.lower("p_brand"), F.lit("#"), F.lit(""))
+    end = F.get(F.array(F.lit(".go"), F.lit(".py"), F.lit(".yaml"), F.lit(".unknown")), (F.col("p_partkey") % 4).cast("int"))
+    lines = F.array_join(F.transform(F.sequence(F.lit(1), F.col("p_size").cast("int")), lambda i: F.when(i % 5 == 0, "").when(i % 7 == 0, "# note").otherwise("x = 1")), "\n")
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(brand, end).alias("name"), lines.alias("text"))
+    parts.repartition("name").write.partitionBy("name").text(path)
+    files = texts_under(spark, path).withColumn("file", F.regexp_replace("file", r"^name=([^/]*)/.*$", "src/$1"))
+    return loc.by_file(loc.count_lines(files)).groupBy("file", "language").agg(*(F.sum(c).alias(c) for c in ("blank", "comment", "code")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{name.replace("-", "_"): _over(name) for name in ANALYSES},
     "coupling_verbose": _over("coupling", options=Options(min_revs=1, min_shared_revs=2, min_coupling=5, verbose=True)),
@@ -98,6 +156,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "exclude_filter": exclude_filter,
     "exclude_lines": exclude_lines,
     "topk_revisions": topk_revisions,
+    "authors_team_file": _over("authors", by_team_file),
+    "revisions_group_file": _over("revisions", by_group_file),
+    "csv_roundtrip": csv_roundtrip,
+    "loc_from_files": loc_from_files,
     "loc_by_language": loc_by_language,
     "loc_by_file": loc_by_file,
 }
@@ -189,9 +251,15 @@ KEPT_SQL = r"NOT (starts_with(entity, 'src/standard/') OR regexp_matches(entity,
 LINES_SQL = """lines AS (
     SELECT p_partkey, 'src/part' || p_partkey || ['.go', '.py', '.yaml', '.unknown'][CAST(p_partkey % 4 AS INTEGER) + 1] AS file,
            ['Go', 'Python', 'YAML', NULL][CAST(p_partkey % 4 AS INTEGER) + 1] AS language, unnest(range(1, CAST(p_size AS BIGINT) + 1)) AS i FROM part),
+  kinds AS (
+    SELECT *, CASE WHEN i % 5 = 0 THEN 'blank' WHEN i % 7 = 0 THEN 'hash' WHEN i % 11 = 0 THEN 'slash' WHEN i % 16 = 1 THEN 'open' WHEN i % 16 = 4 THEN 'shut' END AS kind FROM lines WHERE language IS NOT NULL),
+  within AS (
+    SELECT *, language = 'Go' AND coalesce(max(i) FILTER (kind = 'open') OVER before, 0) > coalesce(max(i) FILTER (kind = 'shut') OVER before, 0) AS inside
+    FROM kinds WINDOW before AS (PARTITION BY file ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
   marked AS (
-    SELECT *, i % 5 = 0 AS blank, i % 5 <> 0 AND CASE WHEN language = 'Go' THEN i % 7 <> 0 AND i % 11 = 0 ELSE i % 7 = 0 END AS remark
-    FROM lines WHERE language IS NOT NULL),
+    SELECT *, coalesce(kind = 'blank', false) AS blank,
+           coalesce(kind <> 'blank', true) AND CASE WHEN language = 'Go' THEN inside OR coalesce(kind IN ('slash', 'open'), false) ELSE coalesce(kind = 'hash', false) END AS remark
+    FROM within),
   counts AS (
     SELECT file, language, count(*) FILTER (blank) AS blank, count(*) FILTER (remark) AS comment, count(*) FILTER (NOT blank AND NOT remark) AS code
     FROM marked GROUP BY file, language)"""
@@ -223,9 +291,18 @@ ORACLE_SQL: dict[str, str] = {
     "authors_team": _sql(AUTHORS_SQL, TEAMS_SQL),
     "fragmentation_team": _fragmentation(TEAMS_SQL),
     "communication_team": _communication(TEAMS_SQL),
-    "log_roundtrip": _sql("SELECT rev, date, author, entity, loc_added, loc_deleted FROM commits"),
+    "log_roundtrip": _sql("SELECT rev, date, CASE WHEN starts_with(author, 'I') THEN author || '--too' ELSE author END AS author, entity, loc_added, loc_deleted FROM commits"),
     "exclude_filter": _sql(f"SELECT rev, date, author, entity, loc_added, loc_deleted FROM commits WHERE {KEPT_SQL}"),
-    "exclude_lines": _sql(f"SELECT loc_added || chr(9) || loc_deleted || chr(9) || entity AS value FROM commits WHERE {KEPT_SQL}"),
+    "exclude_lines": _sql(f"""SELECT '--' || rev || '--' || date || '--' || author AS value FROM commits UNION ALL SELECT '' FROM commits UNION ALL
+      SELECT loc_added || chr(9) || loc_deleted || chr(9) || entity || [chr(13), chr(13) || chr(10), ''][loc_added % 3 + 1] FROM commits WHERE {KEPT_SQL}"""),
+    "authors_team_file": _sql(AUTHORS_SQL, TEAMS_SQL),
+    "revisions_group_file": _sql(REVISIONS_SQL, GROUPED_SQL),
+    "csv_roundtrip": _sql(f"SELECT ['say \"', 'a, ', ' ', 'two' || chr(10) || 'lines '][length(entity) % 4 + 1] || entity AS entity, n_revs FROM ({REVISIONS_SQL})"),
+    "loc_from_files": """SELECT 'src/' || replace(lower(p_brand), '#', '') || ['.go', '.py', '.yaml'][p_partkey % 4 + 1] AS file, ['Go', 'Python', 'YAML'][p_partkey % 4 + 1] AS language,
+      CAST(sum(CASE WHEN i % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS blank,
+      CAST(sum(CASE WHEN i % 5 <> 0 AND i % 7 = 0 AND p_partkey % 4 > 0 THEN 1 ELSE 0 END) AS BIGINT) AS comment,
+      CAST(sum(CASE WHEN i % 5 <> 0 AND (i % 7 <> 0 OR p_partkey % 4 = 0) THEN 1 ELSE 0 END) AS BIGINT) AS code
+      FROM (SELECT *, unnest(range(1, CAST(p_size AS BIGINT) + 1)) AS i FROM part) WHERE p_partkey % 4 < 3 GROUP BY 1, 2""",
     "topk_revisions": _sql(REVISIONS_SQL + " ORDER BY n_revs DESC, entity LIMIT 10"),
     "loc_by_language": f"""WITH {LINES_SQL} SELECT CASE WHEN grouping(language) = 1 THEN 'TOTAL' ELSE language END AS language, count(*) AS files,
       CAST(coalesce(sum(blank), 0) AS BIGINT) AS blank, CAST(coalesce(sum(comment), 0) AS BIGINT) AS comment, CAST(coalesce(sum(code), 0) AS BIGINT) AS code

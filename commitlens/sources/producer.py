@@ -7,33 +7,29 @@ import os
 import re
 import subprocess
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitlens.functions.patterns import exclude_regexes
-
-LOG = ("log", "--all", "--numstat", "--date=short", "--pretty=format:--%h--%ad--%aN", "--no-renames")
+from commitlens.functions.patterns import path_regex
+from commitlens.sources.storage import shared_dir
 
+#: Characters with a meaning in Spark's input paths.
+GLOB = re.compile(r"([\\{}\[\]*?^])")
 
-def _excluded(path: str, patterns: list[str]) -> bool:
-    for prefix, glob in map(exclude_regexes, patterns):
-        if prefix is not None:
-            if path.startswith(prefix):
-                return True
-        elif glob is not None:
-            whole = re.compile(glob.replace(r"\z", r"\Z"))
-            if whole.search(path) or whole.search(path.rsplit("/", 1)[-1]):
-                return True
-    return False
+#: The end of a text in Java's patterns and in Python's.
+JAVA_END, PYTHON_END = r"\z", r"\Z"
+LOG = ("log", "--all", "--numstat", "--date=short", "--pretty=format:--%h--%ad--%aN", "--no-renames")
 
 
 def kept_lines(lines: Iterable[str], patterns: list[str]) -> Iterator[str]:
     """Log lines, ends included, without those of excluded files."""
+    whole = path_regex(patterns)
+    file_line = re.compile(rf"[^\t]*\t[^\t]*\t{whole.replace(JAVA_END, PYTHON_END)}") if whole else None
     for line in lines:
-        parts = line.rstrip("\r\n").split("\t", 2)
-        if line.startswith("--") or len(parts) != 3 or not _excluded(parts[2], patterns):
+        if not file_line or not file_line.fullmatch(line.rstrip("\r\n")):
             yield line
 
 
@@ -44,7 +40,7 @@ def git_log(path: str = ".", after: str = "", excludes: list[str] | None = None)
         yield from kept_lines(io.TextIOWrapper(run.stdout, "utf-8", "surrogateescape", newline="\n"), excludes or [])
         if run.wait():
             said.seek(0)
-            raise RuntimeError(f"git log failed: {said.read().decode('utf-8', 'replace').strip()}")
+            raise RuntimeError(f"{said.read().decode('utf-8', 'replace').strip()}\n(status {run.returncode} of: {' '.join(command)})")
 
 
 def _git(path: str, *command: str) -> str:
@@ -59,24 +55,39 @@ def tracked_files(path: str = ".") -> tuple[list[str], str]:
     root = _git(path, "rev-parse", "--show-toplevel").rstrip("\n")
     names = [n for n in _git(root, "ls-files", "-z").split("\0") if n]
     if not names:
-        raise RuntimeError(f"no git-tracked files found in {path}")
+        raise RuntimeError(f"git tracks nothing in {path}")
     return names, root
 
 
 def tracked_texts(spark: SparkSession, path: str = ".") -> DataFrame:
-    """file (relative to the root) and text of each tracked file that is text; Spark reads them in parallel."""
+    """file (relative to the root) and text of each tracked file that is text; Spark reads them in parallel.
+
+    A checkout is on the driver's disk: away from a local session it is first copied to the folder that executors share.
+    """
     names, root = tracked_files(path)
     there = [n for n in names if os.path.isfile(f"{root}/{n}")]
-    listed = spark.createDataFrame([(n,) for n in there], "file string")
-
-    def read(batches):  # noqa: ANN001, ANN202
-        for batch in batches:
-            texts = []
-            for n in batch["file"]:
-                with open(f"{root}/{n}", "rb") as f:
-                    data = f.read()
-                texts.append(None if b"\0" in data[:8000] else data.decode("utf-8", "replace"))
-            yield batch.assign(text=texts)
-
-    # a checkout is on the driver's disk: its files are local, as the command's are
-    return listed.mapInPandas(read, "file string, text string").filter(F.col("text").isNotNull())
+    top = f"file://{root}"
+    if not spark.sparkContext.master.startswith("local"):
+        top = f"{shared_dir(spark)}/checkout-{uuid.uuid4().hex}"
+        java = spark._jvm.org.apache.hadoop.fs.Path
+        files = java(top).getFileSystem(spark._jsc.hadoopConfiguration())
+        for n in there:
+            files.copyFromLocalFile(java(f"file://{root}/{n}"), java(f"{top}/{n}"))
+    return texts_under(spark, top, there)
+
+
+def texts_under(spark: SparkSession, top: str, names: list[str] | None = None) -> DataFrame:
+    """file (relative to ``top``) and text of the named files, or of all, wherever Spark can read; files that hold a zero byte early on aren't text."""
+    if names == []:
+        return spark.createDataFrame([], "file string, text string")
+    paths = [top] if names is None else [f"{top}/{GLOB.sub(r'\\\1', n)}" for n in names]
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", names is None).load(paths)
+    text = found.filter(~F.contains(F.substring("content", 1, 8000), F.lit(bytes(1))))
+    return text.select(relative(F.col("path"), top).alias("file"), F.col("content").cast("string").alias("text"))
+
+
+def relative(path: str | Column, top: str) -> Column:
+    """What stands after ``top`` in a path; other paths stay as they are. The scheme's slashes may be written in several ways."""
+    path, scheme = F.col(path) if isinstance(path, str) else path, r"^[a-z][a-z0-9+.-]*:/*(?=/)"
+    bare, under = F.regexp_replace(path, scheme, ""), re.sub(scheme, "", top).rstrip("/") + "/"
+    return F.when(bare.startswith(under), F.substring(bare, len(under) + 1, 1 << 30)).otherwise(path)

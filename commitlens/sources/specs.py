@@ -5,6 +5,8 @@ from __future__ import annotations
 import csv
 from collections.abc import Iterable
 
+from pyspark.sql import SparkSession
+
 from commitlens.functions.patterns import java_regex, quoted
 
 
@@ -23,9 +25,16 @@ def parse_groups(lines: Iterable[str]) -> list[tuple[str, str]]:
     return rules
 
 
-def read_groups(path: str) -> list[tuple[str, str]]:
-    with open(path, encoding="utf-8") as lines:
-        return parse_groups(lines)
+def text_lines(path: str, spark: SparkSession | None = None) -> Iterable[str]:
+    """The lines of a small file, ends included: of the driver's disk, or with a session of any store that Spark reads."""
+    if spark is None:
+        with open(path, encoding="utf-8", newline="") as lines:
+            return list(lines)
+    return "".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()).splitlines(keepends=True)
+
+
+def read_groups(path: str, spark: SparkSession | None = None) -> list[tuple[str, str]]:
+    return parse_groups(text_lines(path, spark))
 
 
 def parse_teams(lines: Iterable[str]) -> dict[str, str]:
@@ -46,6 +55,5 @@ def parse_teams(lines: Iterable[str]) -> dict[str, str]:
     return teams
 
 
-def read_teams(path: str) -> dict[str, str]:
-    with open(path, encoding="utf-8", newline="") as lines:
-        return parse_teams(lines)
+def read_teams(path: str, spark: SparkSession | None = None) -> dict[str, str]:
+    return parse_teams(text_lines(path, spark))

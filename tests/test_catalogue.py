@@ -2,6 +2,9 @@
 
 import glob
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -31,3 +34,13 @@ def test_equals_its_sql(spark, tables, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["entity", "coupled", "degree", "average_revs"]
     assert set(SQL) <= set(QUERIES)
+
+
+def test_the_rest_works_without_the_training_data_package(tmp_path):
+    root, copy = os.path.dirname(os.path.abspath(__spark_entry__.__file__)), tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__"))
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q) and 'coupling' in q and not any(n.startswith('op') or n == 'pipeline' for n in q)"
+    for _ in range(2):  # with the pipeline's file left in place, then without
+        subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+        (copy / "corpus_pipeline.py").unlink(missing_ok=True)
+    subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=copy, check=True, capture_output=True)

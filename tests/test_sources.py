@@ -11,7 +11,7 @@ from commitlens.functions.patterns import exclude_regexes, java_regex
 from commitlens.operators import loc
 from commitlens.operators.transforms import apply_groups, apply_teams, exclude_log_lines, is_excluded
 from commitlens.sources import producer, sinks
-from commitlens.sources.gitlog import read_git_log
+from commitlens.sources.gitlog import numstat, read_git_log
 from commitlens.sources.specs import parse_groups, parse_teams
 
 SAMPLE = "--abc123--2024-01-15--Alice\n10\t5\tsrc/foo.go\n3\t0\tsrc/bar.go\n\n--def456--2024-01-16--Bob\n-\t-\timage.png\n2\t1\tsrc/foo.go\n"
@@ -78,6 +78,21 @@ def test_groups(spark):
     assert java_regex("^[[:alpha:]]+$") == r"^[\p{Alpha}]+$"
 
 
+DIALECT = [
+    (r"^src/c\++/", "src/c++/x", "src/c/x"), ("^[*+]x", "+x", "x"), (r"^src/\pL+$", "src/äb", "src/1"), (r"^\Qa.b\E/", "a.b/x", "aab/x"), (r"^\Qa.b", "a.b", "aab"),
+    (r"^(?P<top>a|b)/(?:c|d)$", "b/c", "b/e"), ("^a{2,3}?b", "aab", "ab"), ("^[]a]b", "]b", "cb"), ("^[^[:digit:]_]$", "x", "1"), ("^[a&&b]$", "&", "c"), (r"^(?i)SRC\z", "src", "srcs"), (r"^[\pL-]+$", "a-b", "a1"),
+]
+
+
+def test_group_patterns_of_the_rules_dialect(spark):
+    for pattern, yes, no in DIALECT:
+        rows = spark.createDataFrame([(yes,), (no,)], "entity string")
+        assert [r.entity for r in rows.filter(rows.entity.rlike(java_regex(pattern))).collect()] == [yes], pattern
+    for wrong in ("^a(?=b)", "^(?<!a)b", r"^(a)\1", "^a**", "^a++", "^[a", "^(a", "^a)", "^*a", "^[[:none:]]", "^(?U)a+", "^[b-a]"):
+        with pytest.raises(ValueError):
+            java_regex(wrong)
+
+
 def test_teams(spark):
     teams = parse_teams(["author,team\n", "# x\n", "Alice, Backend\n", "Bob,Old\n", "Bob,Frontend\n", "AUTHOR,Team\n"])
     assert teams == {"Alice": "Backend", "Bob": "Frontend"}
@@ -104,7 +119,7 @@ def test_exclude_patterns(spark):
         for path, q, hit in MATCHES:
             if q == pattern:
                 assert got[path] is hit, (path, pattern)
-                assert producer._excluded(path, [pattern]) is hit, (path, pattern)
+                assert (not list(producer.kept_lines([f"1\t2\t{path}\n"], [pattern]))) is hit, (path, pattern)
     assert exclude_regexes("vendor/") == ("vendor/", None)
 
 
@@ -118,12 +133,12 @@ def test_log_lines_keep_headers_and_ends(spark):
 
 def test_line_counts(spark):
     go = "package main\n\n// Doc comment\nfunc main() {\n\t/* a\n\n b */\n}\n"
-    files = [("src/main.go", go), ("vendor/lib.go", "x\ny\n"), ("Makefile", "# c\nall:\n"), ("a.py", '"""doc\nmore\n"""\nx = 1'), ("empty.go", ""), ("notes.unknown", "x")]
+    files = [("src/main.go", go), ("vendor/lib.go", "x\ny\n"), ("Makefile", "# c\nall:\n"), ("a.py", '"""doc\nmore\n"""\nx = 1'), ("empty.go", ""), ("notes.unknown", "x"), ("two.go", "x\n\n")]
     counts = loc.count_lines(spark.createDataFrame(files, "file string, text string"))
     got = {r.file: tuple(r)[1:] for r in counts.collect()}
-    assert got == {"src/main.go": ("Go", 2, 3, 3), "vendor/lib.go": ("Go", 0, 0, 2), "Makefile": ("Makefile", 0, 1, 1), "a.py": ("Python", 0, 3, 1), "empty.go": ("Go", 0, 0, 0)}
+    assert got == {"src/main.go": ("Go", 2, 3, 3), "vendor/lib.go": ("Go", 0, 0, 2), "Makefile": ("Makefile", 0, 1, 1), "a.py": ("Python", 0, 3, 1), "empty.go": ("Go", 0, 0, 0), "two.go": ("Go", 1, 0, 1)}
     sums = {r.language: (r.files, r.blank, r.comment, r.code) for r in loc.by_language(loc.exclude_files(counts, ["vendor/"])).collect()}
-    assert sums["Go"] == (2, 2, 3, 3) and sums["TOTAL"] == (4, 2, 7, 5)
+    assert sums["Go"] == (3, 3, 3, 4) and sums["TOTAL"] == (5, 3, 7, 6)
 
 
 def test_csv(spark):
@@ -133,6 +148,29 @@ def test_csv(spark):
     assert to.getvalue() == 'one,two\n"a,b","say ""x"""\n" lead",plain\n"two\nlines","\\."\n'
 
 
+def test_files_wherever_spark_reads(spark, tmp_path):
+    (tmp_path / "a[1]").mkdir()
+    for name, data in (("a[1]/x*.go", b"x\n"), ("b.go", b"\0binary"), ("c{}.py", "é\n".encode())):
+        (tmp_path / name).write_bytes(data)
+    for top in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}/"):
+        every = {r.file: r.text for r in producer.texts_under(spark, top).collect()}
+        assert every == {"a[1]/x*.go": "x\n", "c{}.py": "é\n"}
+    named = producer.texts_under(spark, f"file://{tmp_path}", ["a[1]/x*.go", "b.go"]).collect()
+    assert [(r.file, r.text) for r in named] == [("a[1]/x*.go", "x\n")] and producer.texts_under(spark, "file:///x", []).count() == 0
+
+
+def test_numbers_beyond_64_bits_are_held_to_them(spark):
+    rows = spark.createDataFrame([(x,) for x in ("9" * 30, "-" + "9" * 30, " +7 ", "-", "x", "")], "text string")
+    assert [r.n for r in rows.select(numstat("text").alias("n")).collect()] == [(1 << 63) - 1, -(1 << 63), 7, 0, 0, 0]
+
+
+def test_csv_to_any_store(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "ä"), ("b", "2"), ("c", "3")], "one string, two string").coalesce(1)
+    for path in (str(tmp_path / "1.csv"), f"file://{tmp_path}/2.csv"):
+        sinks.write_csv_file(rows.limit(2), path)
+        assert open(path.removeprefix("file://"), encoding="utf-8").read() == "one,two\na,ä\nb,2\n"
+
+
 @pytest.fixture(scope="module")
 def repository(tmp_path_factory):
     root = tmp_path_factory.mktemp("repo")
@@ -150,6 +188,7 @@ def repository(tmp_path_factory):
 def test_command_line(spark, repository, tmp_path, capsys):
     log = tmp_path / "log"
     assert cli.main(["generate-log", "--path", str(repository), "-o", str(log)]) == 0
+    assert f"Log written to {log}" in capsys.readouterr().err
     assert "\tmain.go" in log.read_text() and log.read_text().startswith("--")
     assert cli.main(["revisions", "-l", str(log)]) == 0
     assert capsys.readouterr().out == "entity,n-revs\nmain.go,1\nsub/b.go,1\n"
@@ -165,4 +204,4 @@ def test_command_line(spark, repository, tmp_path, capsys):
     assert cli.main(["cloc", "--path", str(repository), "--by-file", "--exclude", "sub/"]) == 0
     assert capsys.readouterr().out == "File,Language,Blank,Comment,Code\nmain.go,Go,1,1,3\n"
     assert cli.main(["authors"]) == 1 and cli.main(["age", "-l", str(log), "-d", "2024-1-5"]) == 1 and cli.main(["cloc", "--path", str(tmp_path)]) == 1
-    assert "--log (-l) is required" in capsys.readouterr().err
+    assert "needs a log file" in capsys.readouterr().err
