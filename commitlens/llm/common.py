@@ -27,6 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The tables that ``cut`` wrote and nothing has released, oldest first.
+CUT: list[DataFrame] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept as a table in the shared folder: a lost executor costs no lineage.
 
@@ -37,6 +41,7 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept.cut_path = path
+    CUT.append(kept)
     return kept
 
 
@@ -45,6 +50,16 @@ def release(kept: DataFrame) -> None:
     spark = kept.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(kept.cut_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    CUT[:] = [other for other in CUT if other is not kept]
+
+
+def only(make: Callable[[], DataFrame]) -> DataFrame:
+    """``cut(make())``, and what was cut on the way to it released."""
+    before = len(CUT)
+    kept = cut(make())
+    for other in CUT[before:-1]:
+        release(other)
+    return kept
 
 
 def per_batch(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:

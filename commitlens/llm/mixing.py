@@ -12,9 +12,12 @@ sorted and a hot one is pre-aggregated like all; in the bin where the target
 falls the documents take a fractional repetition, so each source meets its target
 to within a word per document of that one bin.
 
+The sources' targets are found in one task, with a row of some 50 bytes a source.
+
 Edge cases: a null text has size 0 and takes nothing; a null source is a source of
-its own, last; null doc_ids draw one number; rows that repeat draw the same number
-and are taken alike; an empty table gives no rows. Columns other than ``doc_id``,
+its own, last; null doc_ids draw one number; rows that repeat, and all with one id, draw the same number
+and are taken alike; sources that fill alike are capped in the order of their names; a very long text counts
+like others, and moves its source's target by a share of it at most; an empty table gives no rows. Columns other than ``doc_id``,
 ``text`` and ``source`` are ignored by ``mix`` and kept by ``repeat``.
 """
 

@@ -7,8 +7,8 @@ its own, so no sequence crosses documents and none is padded. Pieces of equal
 length belong to one bucket, from which batches of one shape are drawn.
 
 Edge cases: a null or empty text has the end mark alone (one piece of length 1);
-rows that repeat are packed each on its own; a null doc_id stays null; an empty
-table gives no pieces. Columns other than ``doc_id`` and ``text`` are ignored.
+rows that repeat are packed each on its own, ties between them left as they are read; a null doc_id stays null; a very long text
+is many pieces of ``max_len``; an empty table gives no pieces. Columns other than ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations

@@ -5,11 +5,12 @@ A candidate is a run of 20 or more characters of secrets' alphabets. A window of
 upper case, signs) and per character are kept incrementally, so each step costs
 the same. Where the entropy of the window, and of the classes within it, reaches
 the thresholds of its mix of classes, the windows' union (grown to the candidate
-if it covers most of it) is a span of kind ``entropy``. Candidates of the
-allow-list (addresses, identifiers in the form of a UUID, paths and dashed or
-dotted words, placeholders, ordered alphabets) are suppressed; base spans never are.
+if it covers most of it) is a span of kind ``entropy``. A candidate that base spans
+cut is looked at piece by piece. Candidates of the allow-list (parts of mail addresses, identifiers in the form
+of a UUID, paths and dashed or dotted words, hosts) are suppressed, and windows with
+placeholders or ordered alphabets; base spans never are.
 
-Edge cases: a null text is empty; texts without spans have an empty list and the
+Edge cases: of spans that begin at one place the kinds have their order; a null text is empty; texts without spans have an empty list and the
 digest of the empty string; rows that repeat count each on its own; ids may be
 null; an empty table gives no rows. Columns other than ``doc_id`` and ``text`` are
 ignored. Each pattern and the window are linear in the text.
@@ -51,9 +52,11 @@ ALLOWED = re.compile(
     | [a-z]+(?:[-_./=+][a-z]+)*                        # words, paths, file names
     | (?:[a-z0-9-]+\.)+[a-z]{2,}(?:/[a-z0-9._/=-]*)?   # hosts
     | [0-9+/_=.-]+                                     # numbers and rules
-    | .*(?:example|sample|placeholder|changeme|xxxx|abcdefgh|01234567|12345678).*
     )$"""
 )
+PLACEHOLDER = re.compile("(?i)example|sample|placeholder|changeme|xxxx|abcdefgh|01234567|12345678")
+#: What stands before a password in a url: there an ``@`` after it is no mail address's.
+CREDENTIAL = re.compile(r"://[^\s/@:]*:")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -106,16 +109,33 @@ def hot_windows(s: str) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
+def outside(a: int, b: int, known: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of a to b that none of ``known`` (sorted bounds) covers."""
+    for start, end in known:
+        if start > a:
+            yield a, min(start, b)
+        a = max(a, end)
+        if a >= b:
+            return
+    yield a, b
+
+
 def entropy_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     found, known, at = [], sorted((a, b) for _, a, b in base), 0
+    passwords = {m.end() for m in CREDENTIAL.finditer(text)}
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
         while at < len(known) and known[at][1] <= a:
             at += 1
-        if (at < len(known) and known[at][0] < b) or text[b : b + 1] == "@" or text[a - 1 : a] == "@" or ALLOWED.match(m.group()):
+        last = at
+        while last < len(known) and known[last][0] < b:
+            last += 1
+        if (text[b : b + 1] == "@" and a not in passwords) or text[a - 1 : a] == "@" or ALLOWED.match(m.group()):
             continue
-        for s, e in hot_windows(m.group()):
-            found.append(("entropy", a, b) if e - s >= 0.5 * (b - a) else ("entropy", a + s, a + e))
+        for start, end in outside(a, b, known[at:last]):
+            for s, e in hot_windows(text[start:end]) if end - start >= WINDOW else ():
+                if not PLACEHOLDER.search(text, start + s, start + e):
+                    found.append(("entropy", start, end) if e - s >= 0.5 * (end - start) else ("entropy", start + s, start + e))
     return list(dict.fromkeys(found))
 
 
