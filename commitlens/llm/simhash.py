@@ -61,7 +61,7 @@ class Rule:
 
 
 #: The stage's: five-word shingles that overlap by 0.8 differ in about 19 of 128 bits, by 0.7 in 25, by 0.5 in 34.
-STAGE_SHINGLE, STAGE_PRINTS, STAGE = 5, 6, Rule(bits=48, wide=24)
+STAGE_SHINGLE, STAGE_PRINTS, STAGE = 5, 8, Rule(bits=48, wide=24)
 
 
 def fingerprints_of(text: str | None, shingle: int = SHINGLE, prints: int = 1) -> list[int]:

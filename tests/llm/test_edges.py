@@ -6,7 +6,9 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from commitlens.llm import ann, licenses, media, mixing, packing, pii, queries, secrets, simhash, toxicity, urlfilter
+from commitlens.llm.common import CUT, cut, only, release
 from commitlens.llm.toxicity import Model
 from tests.llm.test_operators import plain_fingerprint, plain_pii, plain_secrets
 
@@ -69,6 +71,53 @@ def test_one_of_each_keeps_first_rows(odd):
     assert sorted(map(str, ids)) == sorted(["1", "2", "5", "5", "8", "9", "10", "11", "None"])
 
 
+def test_urls_and_vectors_over_odd_and_empty_tables(spark, tmp_path):
+    urls = ["http://m.casino-win.example.com/x", None, "", "no scheme", "http://" + "a." * 3000 + "test/" + "p" * 100_000, "http://m.casino-win.example.com/x"]
+    pages = spark.createDataFrame([(i if i != 3 else None, u, "h", "clash") for i, u in enumerate(urls)], "page_id long, url string, html string, key string")
+    vectors = [(0, [1.0, 2.0]), (None, [1.0, 1.0]), (50, None), (7, [0.0, 0.0]), (8, [1.0, float("nan")]), (9, [2.0, 4.0]), (9, [2.0, 4.0]), (100, [1.0])]
+    embeddings = spark.createDataFrame([(i, v, 1) for i, v in vectors], "vec_id long, embedding array<double>, place int")
+    for part, rows in ((1, (6, 1)), (0, (0, 0))):
+        where = str(tmp_path / str(part))
+        (pages if part else pages.limit(0)).write.parquet(f"{where}/pages.parquet")
+        (embeddings if part else embeddings.limit(0)).write.parquet(f"{where}/embeddings.parquet")
+        found = queries.QUERIES["op6_url_bloom_cascade"](spark, where).collect(), queries.QUERIES["op8_nearest_hilbert_curves"](spark, where).collect()
+        assert tuple(map(len, found)) == rows
+        assert not part or ([r.verdict for r in found[0]].count("block"), tuple(found[1][0])) == (2, (0, 1, 9, pytest.approx(1)))
+
+
+def write_tables(where, docs, marks):
+    docs.write.parquet(f"{where}/documents.parquet")
+    marks.write.parquet(f"{where}/labels.parquet")
+
+
+def test_the_pipeline_over_odd_and_empty_tables(spark, odd, none, tmp_path):
+    labels = spark.createDataFrame([(1, 1, 1), (9, 0, 0), (None, 1, 1), (77, 1, None)], "doc_id long, quality int, toxic int")
+    write_tables(tmp_path / "odd", odd, labels)
+    write_tables(tmp_path / "none", none, labels)
+    write_tables(tmp_path / "unlabelled", odd, labels.limit(0))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    for where in ("odd", "unlabelled"):
+        docs = odd
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = cut(stage(spark, docs, str(tmp_path / where)))
+            assert docs.columns == odd.columns
+            if name == "toxicity":
+                assert docs.count() == odd.count()  # no class has the three documents that a word needs to tell
+            if name == "near_duplicates":
+                assert sorted(str(r.doc_id) for r in docs.collect()) == sorted(["1", "2", "5", "5", "8", "9", "10", "11", "None"])
+        pieces, took = corpus_pipeline.run(spark, str(tmp_path / where)), collections.Counter(str(r.doc_id) for r in docs.collect())
+        whole = collections.Counter(str(r.doc_id) for r in pieces.collect() if r.start + r.length == r.doc_tokens)
+        assert whole == took and set(took) >= {"1", "8"}
+
+
+def test_a_stage_releases_what_it_is_done_with(small):
+    before = list(CUT)
+    kept = only(lambda: simhash.one_of_each(small))
+    assert CUT == [*before, kept] and kept.count() > 0
+    release(kept)
+    assert CUT == before
+
+
 @pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in ("op6_url_bloom_cascade", "op8_nearest_hilbert_curves")])
 def test_queries_over_odd_and_empty_tables(spark, odd, none, tmp_path, name):
     labels = spark.createDataFrame([(1, 1, 1), (9, 0, 0), (9, 0, 1), (None, 1, 1), (77, 1, None)], "doc_id long, quality int, toxic int")

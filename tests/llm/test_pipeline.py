@@ -8,7 +8,7 @@ import pytest
 import corpus_pipeline
 from commitlens.llm import packing, pii, simhash, toxicity
 from commitlens.llm.common import cut
-from tests.llm.test_operators import plain_roots
+from tests.llm.test_operators import plain_roots, plain_score
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,7 +36,7 @@ def test_columns_last_through_all_stages_but_the_last(spark, stages):
 def test_toxic_documents_go_and_others_stay(spark, stages):
     before, after = stages["toxicity"]
     model = toxicity.fit(toxicity.sample(before, spark.read.parquet(f"{SF}/labels.parquet")))
-    assert rows(after) == collections.Counter(t for t in map(tuple, before.collect()) if model.score(t[1] or "")[0] < 0.5)
+    assert rows(after) == collections.Counter(t for t in map(tuple, before.collect()) if plain_score(model, t[1] or "") < 0.5)
 
 
 def meets(x, y, rule=simhash.STAGE):
