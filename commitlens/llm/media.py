@@ -40,7 +40,7 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER = 33  # signature and the IHDR chunk
 #: A shard is closed at this size and another begun.
 SHARD_BYTES = 256 << 20
-INDEX = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
+INDEX = "doc_id long, n_bytes long, digest binary, shard string, offset long, length long"
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -99,13 +99,13 @@ class Shard:
         files, path = filesystem(folder)
         files.create_dir(path, recursive=True)
         self.out = files.open_output_stream(f"{path}/{self.uri.rpartition('/')[2]}")
-        self.places: dict[str, tuple[int, int]] = {}
+        self.places: dict[bytes, tuple[int, int]] = {}
         self.size = 0
 
-    def add(self, digest: str, payload: bytes) -> tuple[int, int]:
+    def add(self, digest: bytes, payload: bytes) -> tuple[int, int]:
         if digest not in self.places:
             media = encode(payload)
-            info = tarfile.TarInfo(f"{digest}.png")
+            info = tarfile.TarInfo(f"{digest.hex()}.png")
             info.size = len(media)
             head = info.tobuf(tarfile.USTAR_FORMAT)
             self.places[digest] = (self.size + len(head), len(media))
@@ -131,7 +131,7 @@ def store(docs: DataFrame, folder: str | None = None) -> DataFrame:
             rows = []
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n, payload = payload_of(text)
-                digest = hashlib.sha256(payload).hexdigest()
+                digest = hashlib.sha256(payload).digest()
                 if shard and shard.size > SHARD_BYTES:
                     shard.close()
                     shard = None
@@ -198,17 +198,18 @@ def features(places: DataFrame) -> DataFrame:
         counts = np.bincount(np.frombuffer(samples, np.uint8), minlength=256)
         shares = counts[counts > 0] / len(samples)
         feature = f"mean={counts @ np.arange(256) / len(samples):.6f}:entropy={-(shares * np.log2(shares)).sum():.6f}"
-        return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), feature
+        return len(samples), hashlib.sha256(samples).digest(), zlib.crc32(samples[-ROW:]), len(media), hashlib.sha256(media).digest(), feature
 
-    return _from_shards(places, read, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, samples string")
+    return _from_shards(places, read, "payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, samples string")
 
 
 def described(index: DataFrame) -> DataFrame:
-    """Each row of ``index`` (doc_id, n_bytes, digest) with its payload's one place, header fields and features."""
+    """Each row of ``index`` (doc_id, n_bytes, digest) with its payload's one place, header fields and features; digests as hex."""
     tasks = index.select("shard").distinct().count()
-    read = cut(features(metadata(in_order(canonical(index), tasks))))
+    read = features(metadata(in_order(canonical(index), tasks)))
     size = F.concat_ws("x", *(F.col(c).cast("string") for c in ("width", "height", "bits")))
-    return index.select("doc_id", "n_bytes", "digest").join(read, "digest").withColumn("feature", F.concat_ws(":", size, "samples"))
+    found = index.select("doc_id", "n_bytes", "digest").join(read, "digest").withColumn("feature", F.concat_ws(":", size, "samples"))
+    return found.withColumns({c: F.lower(F.hex(c)) for c in ("digest", "payload_sha256", "media_sha256")})
 
 
 def members(shard: str) -> Iterator[tuple[str, bytes]]:
