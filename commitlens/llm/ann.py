@@ -178,7 +178,9 @@ def along_curves(distinct: DataFrame, queries: DataFrame, curves: Curves) -> Dat
 
     met = distinct.select("ids", "v").mapInPandas(held, MET).unionByName(queries.mapInPandas(asked, MET))
     tasks = min(CURVES * ranges, int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return met.repartitionByRange(tasks, "place").sortWithinPartitions("place", F.col("query_id").asc_nulls_first())
+    # the cuts are at hand, so neighbouring ranges go to a task without another sample of the rows
+    task = F.floor(F.col("place") * tasks / (CURVES * ranges)).cast("int")
+    return met.repartitionById(tasks, task).sortWithinPartitions("place", F.col("query_id").asc_nulls_first())
 
 
 def scanned(met: DataFrame, k: int) -> DataFrame:
