@@ -61,13 +61,13 @@ class Rule:
 
 
 #: The stage's: five-word shingles that overlap by 0.8 differ in about 19 of 128 bits, by 0.7 in 25, by 0.5 in 34.
-STAGE_SHINGLE, STAGE_PRINTS, STAGE = 5, 8, Rule(bits=48, wide=24)
+STAGE_SHINGLE, STAGE_PRINTS, STAGE = 5, 8, Rule(bits=48, wide=20)
 
 
-def fingerprints_of(text: str | None, shingle: int = SHINGLE, prints: int = 1) -> list[int]:
+def fingerprints_of(text: str | None, shingle: int = SHINGLE, prints: int = 1, distinct: bool = False) -> list[int]:
     """Bits set in over half of the shingles' hashes; words are parted by ASCII white space, A-Z lower-cased.
 
-    Further prints take the same hashes, each mixed anew, so that their errors are independent.
+    With ``distinct`` a shingle that repeats counts once, so that a line repeated over and over doesn't speak for the text. Further prints take the same hashes, each mixed anew, so that their errors are independent.
     """
     import numpy as np
     import xxhash
@@ -81,6 +81,7 @@ def fingerprints_of(text: str | None, shingle: int = SHINGLE, prints: int = 1) -
     starts = (ends - sizes)[: len(words) - width + 1].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+    hashes = np.unique(hashes) if distinct else hashes
     found = []
     for number in range(prints):
         counts = np.zeros(BITS, np.int64)
@@ -103,13 +104,13 @@ def mixed(hashes, number: int):  # noqa: ANN001, ANN201
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, prints: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, prints: int = 1, distinct: bool = False) -> DataFrame:
     """doc_id, hash1, hash2 (of the text), fps (the fingerprints as signed longs)."""
 
     def make() -> Callable:
         def rows(columns: list[list]) -> Iterator[tuple]:
             for doc_id, text, *hashes in zip(*columns, strict=True):
-                yield doc_id, *hashes, list(map(signed, fingerprints_of(text, shingle, prints)))
+                yield doc_id, *hashes, list(map(signed, fingerprints_of(text, shingle, prints, distinct)))
 
         return rows
 
@@ -331,11 +332,11 @@ def one_of_each(docs: DataFrame, shingle: int = STAGE_SHINGLE, prints: int = STA
 
     One fingerprint of 64 bits strays by more than ``radius`` for many copies
     with a few words changed, so texts have several independent ones here, and
-    those that meet in a bucket link by a wider distance over two of them. Of different
+    those that meet in a bucket link by a wider distance over two of them; they are of distinct shingles, whose overlap is meant. Of different
     texts with the first id the one with the least hash stays, of rows that repeat both, any one.
     """
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash1", "hash2")
-    marks = cut(fingerprints(docs, shingle, prints))
+    marks = cut(fingerprints(docs, shingle, prints, distinct=True))
     # 128 bits tell texts apart; nodes are numbered as they are written, so that a number is one text's
     texts = cut(marks.groupBy("hash1", "hash2").agg(F.min(row).alias("first"), F.first("fps").alias("fps")).select(F.monotonically_increasing_id().alias("node"), "first", "fps"))
     found = roots(texts.select("node", "fps"), prints, rule)
