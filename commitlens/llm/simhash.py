@@ -18,8 +18,8 @@ to the members, however dense a group is, and none is lost.
 A bucket that is too large for one task is streamed through it in blocks, its
 smallest groups first: each block meets itself and the first ``bucket_rows``
 members, which is exact if only one group lies beyond these. Where more do, what is left between
-them is found by shared points, spread over the cluster: two fingerprints within r
-both lie within r/2 of some point.
+them is found spread over the cluster: for links by the radius alone by shared points, as two fingerprints within r
+both lie within r/2 of some point; for wide links by blocks of the bucket, every two of which meet, unless both are of one group.
 
 Edge cases: a null text is empty; a text without words has fingerprint zero and
 links like any other; null doc_ids count as larger than all others (a component
@@ -44,6 +44,8 @@ BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 BUCKET_ROWS = 4096
 #: Rows that a task gathers before it looks at their buckets, and that meet at once.
 CHUNK_ROWS, BLOCK = 1 << 16, 128
+#: Where all members of a bucket meet: a block's rows, in ``bucket_rows``.
+BLOCKS = 8
 
 
 @dataclass(frozen=True)
@@ -132,17 +134,33 @@ def signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def placed(members: DataFrame, prints: int, rule: Rule) -> DataFrame:
-    """key, label, a, b: each member (label, size, fps) in each bucket that it belongs to, with that print and the next."""
+def in_buckets(members: DataFrame, prints: int, rule: Rule) -> DataFrame:
+    """key, size, label, a, b: each member (label, size, fps) in each bucket that it belongs to, with that print and the next."""
     each = members.select("label", "size", F.explode(F.array(*(F.struct(F.lit(i).alias("print"), F.get("fps", F.lit(i)).alias("a"), F.get("fps", F.lit((i + 1) % prints)).alias("b")) for i in range(prints)))).alias("p"))
     keys = [F.xxhash64(F.col("p.a").bitwiseAND(F.lit(signed(mask))), F.lit(number), "p.print") for number, mask in enumerate(covering_masks(rule.radius, rule.bits))]
-    rows = each.select(F.explode(F.array(*keys)).alias("key"), "size", "label", F.col("p.a").alias("a"), *([F.col("p.b").alias("b")] if rule.wide >= 0 else []))
-    return rows.repartition("key").sortWithinPartitions("key", "size", "label").drop("size")
+    return each.select(F.explode(F.array(*keys)).alias("key"), "size", "label", F.col("p.a").alias("a"), *([F.col("p.b").alias("b")] if rule.wide >= 0 else []))
+
+
+def placed(members: DataFrame, prints: int, rule: Rule) -> DataFrame:
+    """key, label, a, b as in ``in_buckets``, whole buckets in a task, their smallest groups first."""
+    return in_buckets(members, prints, rule).repartition("key").sortWithinPartitions("key", "size", "label").drop("size")
+
+
+def linked(own: list, others: list, rule: Rule):  # noqa: ANN201
+    """Which of ``own`` (label, a, b) link to which of ``others`` of another label, as a matrix."""
+    import numpy as np
+
+    apart = [np.bitwise_count(x[:, None] ^ y[None, :]) for x, y in zip(own[1:], others[1:], strict=True)]
+    near = apart[0] <= rule.radius
+    if rule.wide >= 0:
+        near |= apart[0] + apart[1] <= rule.wide
+    near &= own[0][:, None] != others[0][None, :]
+    return near
 
 
 def bucket_links(rows: DataFrame, rule: Rule) -> DataFrame:
-    """x, y: y is the least other label that label x links to; (x, null) for the labels of a bucket in which links may be left."""
-    schema = arrow_schema(rows.sparkSession, "x long, y long")
+    """x, y, key: y is the least other label that label x links to; (x, null) for the labels of a bucket in which links may be left, and its key in a row of its own."""
+    schema = arrow_schema(rows.sparkSession, "x long, y long, key long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -153,11 +171,7 @@ def bucket_links(rows: DataFrame, rule: Rule) -> DataFrame:
             """Of each of ``own`` (key, label, a, b) the least other label among those of ``others`` that link to it."""
             found = np.empty(len(own[0]), np.int64)
             for at in range(0, len(found), BLOCK):
-                apart = [np.bitwise_count(x[at : at + BLOCK, None] ^ y[None, :]) for x, y in zip(own[2:], others[2:], strict=True)]
-                near = apart[0] <= rule.radius
-                if rule.wide >= 0:
-                    near |= apart[0] + apart[1] <= rule.wide
-                near &= own[1][at : at + BLOCK, None] != others[1][None, :]
+                near = linked([c[at : at + BLOCK] for c in own[1:]], others[1:], rule)
                 found[at : at + BLOCK] = np.where(near, others[1][None, :], none).min(1, initial=none)
             return found
 
@@ -165,13 +179,13 @@ def bucket_links(rows: DataFrame, rule: Rule) -> DataFrame:
             """Of each label the least it links to; without ``y``, the labels alone."""
             if y is None:
                 x = np.unique(x)
-                return pa.RecordBatch.from_arrays([pa.array(x), pa.nulls(len(x), pa.int64())], schema=schema)
+                return pa.RecordBatch.from_arrays([pa.array(x), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.int64())], schema=schema)
             some = y < none
             x, y = x[some], y[some]
             order = np.lexsort((y, x))
             x, y = x[order], y[order]
             first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))[: len(x)]
-            return pa.RecordBatch.from_arrays([pa.array(x[first]), pa.array(y[first])], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(x[first]), pa.array(y[first]), pa.nulls(len(first), pa.int64())], schema=schema)
 
         def settled(rows: list) -> Iterator[pa.RecordBatch]:
             """Whole buckets: the many small ones at once, by distance within them, the others each in blocks."""
@@ -223,6 +237,7 @@ def bucket_links(rows: DataFrame, rule: Rule) -> DataFrame:
                         self.beyond = rest[0] if self.beyond is None else self.beyond
                         if not self.left and (rest != self.beyond).any():
                             self.left = True
+                            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array(block[0][:1])], schema=schema)
                             yield out(np.append(self.held[1], self.beyond))
                         if self.left:
                             yield out(rest)
@@ -252,7 +267,7 @@ def bucket_links(rows: DataFrame, rule: Rule) -> DataFrame:
                 rows = [c[:0] for c in rows]
             parts, count = [rows], len(rows[0])
 
-    return rows.mapInArrow(run, "x long, y long")
+    return rows.mapInArrow(run, "x long, y long, key long")
 
 
 def _and_last(batches: Iterator) -> Iterator:
@@ -276,6 +291,54 @@ def point_links(members: DataFrame, prints: int, rule: Rule) -> DataFrame:
     return ends.groupBy("x").agg(F.min("y").alias("y"))
 
 
+def block_links(members: DataFrame, keys: DataFrame, prints: int, rule: Rule) -> DataFrame:
+    """x, y as in ``bucket_links`` for all members (label, size, fps) of the buckets ``keys``, of any size.
+
+    A bucket's rows, in groups, are cut into blocks, and each two blocks meet in a task, also a block
+    and itself. Two that hold but one group don't, so a large group's rows meet others' only.
+    """
+    spark = members.sparkSession
+    schema = arrow_schema(spark, "x long, y long")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("size", "label")) - 1
+    rows = in_buckets(members, prints, rule).join(keys, "key", "left_semi").withColumn("block", (place / (BLOCKS * rule.bucket_rows)).cast("int"))
+    rows = cut(rows.drop("size"))
+    ends = rows.groupBy("key", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    one, two = (ends.select("key", *(F.col(c).alias(f"{c}{n}") for c in ("block", "low", "high"))) for n in (1, 2))
+    pairs = one.join(two, "key").filter("block1 <= block2 and least(low1, low2) < greatest(high1, high2)")
+    pairs = cut(pairs.select(F.monotonically_increasing_id().alias("pair"), "key", "block1", "block2"))
+    first = pairs.select("key", F.col("block1").alias("block"), "pair", F.lit(False).alias("second"))
+    sides = first.unionByName(pairs.filter("block1 < block2").select("key", F.col("block2").alias("block"), "pair", F.lit(True).alias("second")))
+
+    def run(met: pa.Table) -> pa.Table:
+        import numpy as np
+
+        none = np.iinfo(np.int64).max
+        second, label, *words = (met[c].to_numpy() for c in ("second", "label", "a", *(["b"] if rule.wide >= 0 else [])))
+        every = [label, *(w.view(np.uint64) for w in words)]
+        own = [c[~second] for c in every]
+        others = [c[second] for c in every] if second.any() else own
+        found = [np.full(len(own[0]), none), np.full(len(others[0]), none)]
+        for i in range(0, len(own[0]), BLOCK):
+            for j in range(0, len(others[0]), 4 * BLOCK):  # matrices that stay in the processor's cache
+                a, b = ([c[at : at + n] for c in side] for side, at, n in ((own, i, BLOCK), (others, j, 4 * BLOCK)))
+                near = linked(a, b, rule)
+                if near.any():
+                    for least, at, labels, hits in ((found[0], i, b[0], near), (found[1], j, a[0], near.T)):
+                        some = np.flatnonzero(hits.any(1))
+                        least[at + some] = np.minimum(least[at + some], np.where(hits[some], labels[None, :], none).min(1))
+        x, y = np.concatenate([own[0], others[0]]), np.concatenate(found)
+        x, y = x[y < none], y[y < none]
+        return pa.Table.from_arrays([pa.array(x), pa.array(y)], schema=schema)
+
+    # so many tasks: the rows are few for the work that they make, and few bytes would be gathered into one task
+    tasks = max(1, min(pairs.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    met = rows.join(sides, ["key", "block"]).select("pair", "second", "label", *rows.columns[2:-1]).repartition(tasks, "pair")
+    links = cut(met.groupBy("pair").applyInArrow(run, "x long, y long").groupBy("x").agg(F.min("y").alias("y")))
+    release(rows)
+    release(pairs)
+    return links
+
+
 def followed(links: DataFrame) -> DataFrame:
     """links (x, its one lesser y) with each y followed to where it ends; doubling, so a few steps."""
     now, more = links, True
@@ -293,11 +356,16 @@ def roots(members: DataFrame, prints: int, rule: Rule) -> DataFrame:
     active, root, number = members.select(F.col("node").alias("label"), F.lit(1).alias("size"), "fps"), None, 0
     while True:
         number += 1
-        found = cut(bucket_links(placed(active, prints, rule), rule).groupBy("x").agg(F.min("y").alias("y"), F.max(F.col("y").isNull()).alias("left")))
-        met, left = found.select("x", "y"), found.filter("left").select(F.col("x").alias("label"))
-        more = not left.isEmpty()
+        found = cut(bucket_links(placed(active, prints, rule), rule).groupBy("x", "key").agg(F.min("y").alias("y"), F.max(F.col("y").isNull()).alias("left")))
+        met, keys = found.filter("key is null").select("x", "y"), found.filter("key is not null").select("key")
+        more = not keys.isEmpty()
         if more and number > 1:  # most of what was left in the first round has become one group since
-            met = cut(met.unionByName(point_links(active.join(left, "label", "left_semi"), prints, rule)).groupBy("x").agg(F.min("y").alias("y")))
+            if rule.wide >= 0:  # all pairs of these buckets have met then
+                met, rest = met.filter("y is not null"), block_links(active, keys, prints, rule)
+            else:
+                left = found.filter("left and key is null").select(F.col("x").alias("label"))
+                rest = point_links(active.join(left, "label", "left_semi"), prints, rule)
+            met = cut(met.unionByName(rest).groupBy("x").agg(F.min("y").alias("y")))
         links = met.filter("y < x")
         linked = not links.isEmpty()
         if not linked and (number > 1 or not more):

@@ -54,6 +54,29 @@ def test_one_document_of_each_group_stays(stages):
     assert sorted(r.doc_id for r in after.collect()) == sorted(set(wanted.values())) and len(set(wanted.values())) < len(wanted)
 
 
+def apart(n, least):
+    """``n`` numbers of 16 bits, each two of which differ in at least ``least``."""
+    found = []
+    for x in range(1 << 16):
+        if len(found) < n and all((x ^ y).bit_count() >= least for y in found):
+            found.append(x)
+    return found
+
+
+@pytest.mark.parametrize(("seed", "bucket_rows"), [(1, 4096), (1, 16), (2, 1)])
+def test_wide_links_are_whole_in_large_buckets(spark, seed, bucket_rows):
+    """First prints that agree under all masks, so each of their buckets holds every member, and no link by the radius."""
+    r, rule = random.Random(seed), simhash.Rule(bits=48, wide=20, bucket_rows=bucket_rows)
+    centre, groups = r.getrandbits(64), [r.getrandbits(64) for _ in range(25)]
+    flip = lambda x, n: x ^ sum(1 << p for p in r.sample(range(64), n))
+    points = {i: (centre ^ top << 48, flip(r.choice(groups), 6)) for i, top in enumerate(apart(100, 5))}
+    members = spark.createDataFrame([(i, list(map(simhash.signed, v))) for i, v in points.items()], "node long, fps array<long>")
+    got = {x.node: x.root for x in simhash.roots(members, 2, rule).collect()}
+    wanted = plain_roots(points, lambda x, y: meets(x, y, rule))
+    assert 25 <= len(set(wanted.values())) <= 75
+    assert {i: got.get(i, i) for i in points} == wanted
+
+
 def test_copies_with_an_overlap_of_four_fifths_are_found(spark):
     r, docs, words = random.Random(4), {}, [f"w{i}" for i in range(5000)]
     overlap = lambda a, b: len(a & b) / len(a | b)
